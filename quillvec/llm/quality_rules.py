@@ -23,11 +23,11 @@ SYMBOL = r"[#$%&*|!~^=<>{}_+\\]"
 ACCURACY, FENCE, LEAST_GROUP = 10_000, 3.0, 40
 #: rule: (fence below, fence above, least spread)
 RULES = {
-    "mean_word_chars": (True, True, 1.5),
+    "mean_word_chars": (True, True, 2.5),
     "symbol_share": (False, True, 0.02),
     "upper_share": (False, True, 0.2),
-    "letter_share": (True, False, 0.1),
-    "distinct_bigrams": (True, False, 0.1),
+    "letter_share": (True, False, 0.2),
+    "distinct_bigrams": (True, False, 0.15),
 }
 
 

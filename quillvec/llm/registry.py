@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillvec.llm import mixing, near_dedup, quality_rules
+from quillvec.llm import mixing, near_dedup, quality_rules, secret_scan, url_filter
 
 
 def queries():
@@ -10,8 +10,10 @@ def queries():
         "op1_source_mixing": mixing.query,
         "op2_minmax_dedup": near_dedup.query,
         "op4_quality_rules": quality_rules.query,
+        "op7_secret_scan": secret_scan.query,
+        "op9_url_filter": url_filter.query,
     }
 
 
 def oracle_sql():
-    return {"op1_source_mixing": mixing.SQL, "op4_quality_rules": quality_rules.SQL}
+    return {"op1_source_mixing": mixing.SQL, "op4_quality_rules": quality_rules.SQL, "op9_url_filter": url_filter.sql()}
