@@ -15,12 +15,16 @@ returns the columns of its input whatever their names; texts of any length are m
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillvec.session import cut_lineage
+
 WORD = r"[^ \t\n\r\f]+"
+BLANKS = r"[ \t\n\r\f]+"
 SYMBOL = r"[#$%&*|!~^=<>{}_+\\]"
 ACCURACY, FENCE, LEAST_GROUP = 10_000, 3.0, 40
+BROADCAST_GROUPS, SALTS = 20_000, 32
 #: rule: (fence below, fence above, least spread)
 RULES = {
     "mean_word_chars": (True, True, 2.5),
@@ -31,30 +35,34 @@ RULES = {
 }
 
 
-def statistics(text: F.Column) -> dict[str, F.Column]:
-    """Statistics of a text; null where they are undefined."""
-    words = F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
+def measured(docs: DataFrame, *carry: Column) -> DataFrame:
+    """``carry`` (by default ``doc``, a struct of all columns), n_words, and one column for each rule, null where undefined.
+
+    Word pairs are counted by their 64-bit hashes. The arrays are columns of their own, so that each is made once.
+    """
+    carry = carry or (F.struct(*(docs[c] for c in docs.columns)).alias("doc"),)
+    text = docs["text"]
+    base = docs.select(
+        *carry,
+        F.array_remove(F.split(text, BLANKS), "").alias("words"),
+        F.length(F.regexp_replace(text, r"[^\p{L}]+", "")).cast("long").alias("letters"),
+        F.length(F.regexp_replace(text, r"[^\p{Lu}]+", "")).cast("long").alias("uppers"),
+        F.regexp_count(text, F.lit(SYMBOL)).cast("long").alias("symbols"),
+    )
+    kept = base.columns[: len(carry)]
+    base = base.select(*kept, "letters", "uppers", "symbols", F.coalesce(F.size("words"), F.lit(0)).cast("long").alias("n"), F.length(F.array_join("words", "")).cast("long").alias("solid"), F.transform("words", lambda w: F.xxhash64(w)).alias("hashes"))
+    # the last word is paired with nothing, which is one kind more
+    pairs = F.zip_with("hashes", F.slice("hashes", F.lit(2), F.size("hashes")), lambda a, b: F.xxhash64(a, b))
     ratio = lambda a, b: F.when(b > 0, a.cast("double") / b.cast("double"))
-    return {"words": words, "solid": F.length(F.regexp_replace(text, r"[ \t\n\r\f]+", "")).cast("long"), "letters": F.length(F.regexp_replace(text, r"[^\p{L}]+", "")).cast("long"), "uppers": F.length(F.regexp_replace(text, r"[^\p{Lu}]+", "")).cast("long"), "symbols": F.regexp_count(text, F.lit(SYMBOL)).cast("long"), "ratio": ratio}
-
-
-def measured(docs: DataFrame) -> DataFrame:
-    """``docs`` in a struct ``doc`` with one column for each rule and n_words."""
-    base = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("doc"))
-    s = statistics(F.col("doc.text"))
-    ratio = s.pop("ratio")
-    base = base.select("doc", *(c.alias(n) for n, c in s.items()))
-    n = F.coalesce(F.size("words"), F.lit(0))
-    pairs = F.zip_with(F.slice("words", F.lit(1), F.greatest(n - 1, F.lit(0))), F.slice("words", F.lit(2), F.greatest(n - 1, F.lit(0))), lambda a, b: F.concat(a, F.lit(" "), b))
-    base = base.select("doc", "solid", "letters", "uppers", "symbols", F.when(F.col("words").isNull(), F.lit(0)).otherwise(F.size("words")).cast("long").alias("n_words"), F.when(F.size("words") > 1, F.size(F.array_distinct(pairs))).cast("long").alias("kinds"))
+    n = F.when(F.col("hashes").isNull(), F.lit(0)).otherwise(F.col("n")).cast("long")
     return base.select(
-        "doc",
-        "n_words",
-        ratio(F.col("solid"), F.col("n_words")).alias("mean_word_chars"),
+        *kept,
+        n.alias("n_words"),
+        ratio(F.col("solid"), n).alias("mean_word_chars"),
         ratio(F.col("symbols"), F.col("solid")).alias("symbol_share"),
         ratio(F.col("uppers"), F.col("letters")).alias("upper_share"),
         ratio(F.col("letters"), F.col("solid")).alias("letter_share"),
-        ratio(F.col("kinds"), F.col("n_words") - 1).alias("distinct_bigrams"),
+        ratio((F.size(F.array_distinct(pairs)) - 1).cast("long"), n - 1).alias("distinct_bigrams"),
     )
 
 
@@ -62,7 +70,7 @@ def fences(stats: DataFrame) -> DataFrame:
     """(lang, source, fence of each rule and side); one row for each group of documents with words."""
     quartiles = [F.percentile_approx(r, F.array(F.lit(0.25), F.lit(0.75)), F.lit(ACCURACY)).alias(r) for r in RULES]
     sets = stats.where("n_words > 0").select("lang", "source", *RULES)
-    levels = sets.groupingSets([["lang", "source"], ["lang"], []], "lang", "source").agg(F.grouping_id().alias("level"), F.count("*").alias("n"), *quartiles)
+    levels = cut_lineage(sets.groupingSets([["lang", "source"], ["lang"], []], "lang", "source").agg(F.grouping_id().alias("level"), F.count("*").alias("n"), *quartiles))
     fine = levels.where("level = 0")
     by_lang = levels.where("level = 1").select(F.col("lang").alias("lang1"), F.struct("n", *RULES).alias("q1"))
     overall = levels.where("level = 3").select(F.struct("n", *RULES).alias("q2"))
@@ -75,11 +83,24 @@ def fences(stats: DataFrame) -> DataFrame:
     return joined.select(*out)
 
 
-def judged(docs: DataFrame) -> DataFrame:
-    """``doc``, statistics and ``broken``, the names of the rules that the document breaks."""
-    stats = measured(docs).withColumns({"lang": F.col("doc.lang"), "source": F.col("doc.source")})
-    limits = fences(stats).withColumnsRenamed({"lang": "lang_", "source": "source_"})
-    joined = stats.join(limits, stats["lang"].eqNullSafe(limits["lang_"]) & stats["source"].eqNullSafe(limits["source_"]), "left")
+def with_fences(stats: DataFrame, limits: DataFrame) -> DataFrame:
+    """``stats`` (with lang and source) with the fences of its group.
+
+    A few thousand fences are broadcast, once their number is known; more of them are joined by shuffling, each copied
+    ``SALTS`` times, so that a hot source spreads over as many tasks.
+    """
+    limits = cut_lineage(limits.withColumnsRenamed({"lang": "lang_", "source": "source_"}))
+    match = stats["lang"].eqNullSafe(limits["lang_"]) & stats["source"].eqNullSafe(limits["source_"])
+    if limits.count() <= BROADCAST_GROUPS:
+        return stats.join(F.broadcast(limits), match, "left")
+    salted = stats.withColumn("salt", F.pmod(F.xxhash64(*RULES), F.lit(SALTS)))
+    copies = limits.withColumn("salt_", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    match = salted["lang"].eqNullSafe(copies["lang_"]) & salted["source"].eqNullSafe(copies["source_"]) & (salted["salt"] == copies["salt_"])
+    return salted.join(copies, match, "left")
+
+
+def broken() -> Column:
+    """The names of the rules that a row with its fences breaks."""
     checks = [F.when(F.col("n_words") == 0, F.lit("no_words"))]
     for rule, (below, above, _) in RULES.items():
         bad = F.lit(False)
@@ -88,7 +109,17 @@ def judged(docs: DataFrame) -> DataFrame:
         if above:
             bad |= F.col(rule) > F.col(f"{rule}_high")
         checks.append(F.when(bad, F.lit(rule)))
-    return joined.withColumn("broken", F.filter(F.array(*checks), lambda x: x.isNotNull()))
+    return F.filter(F.array(*checks), lambda x: x.isNotNull())
+
+
+def judged(docs: DataFrame) -> DataFrame:
+    """``doc``, statistics and ``broken``, the names of the rules that the document breaks.
+
+    Two passes over the texts, neither of which shuffles them: one for the sketches, one for the verdicts.
+    """
+    limits = fences(measured(docs, docs["lang"], docs["source"]))
+    stats = measured(docs).withColumns({"lang": F.col("doc.lang"), "source": F.col("doc.source")})
+    return with_fences(stats, limits).withColumn("broken", broken())
 
 
 def keep(docs: DataFrame) -> DataFrame:
@@ -97,10 +128,11 @@ def keep(docs: DataFrame) -> DataFrame:
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    """The documents that stay, with their statistics."""
+    """The documents that stay, with their statistics; the statistics are made once and kept, for both uses."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    kept = judged(docs).where(F.size("broken") == 0)
-    return kept.select(F.col("doc.doc_id").alias("doc_id"), "lang", "source", "n_words", *RULES)
+    stats = cut_lineage(measured(docs, docs["doc_id"], docs["lang"], docs["source"]))
+    kept = with_fences(stats, fences(stats)).where(F.size(broken()) == 0)
+    return kept.select("doc_id", "lang", "source", "n_words", *RULES)
 
 
 def _sql() -> str:
