@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -26,19 +26,21 @@ def normalized(v: Column) -> Column:
     return F.transform(v, lambda x: x / length)
 
 
-def hadamard(v: Column, dim: int) -> Column:
-    """The unsigned Hadamard rotation (``srht`` with seed 0) by log2(dim) butterfly passes, digits beyond the ninth rounded off."""
+def made_once(column: Column) -> Column:
+    """A generator that yields the column as it is: lambdas that read the result find a value, not an expression to repeat."""
+    return F.explode(F.array(column))
+
+
+def hadamard(df: DataFrame, v: str, dim: int, out: str) -> DataFrame:
+    """``df`` with ``out`` for ``v``: the unsigned Hadamard rotation (``srht`` with seed 0), rounded to nine digits."""
     if dim & (dim - 1):
         raise ValueError("needs a power of two")
-    out = v
-    step = 1
-    while step < dim:
-        at = F.array(*(F.lit(i ^ step) for i in range(dim)))
-        sign = F.array(*(F.lit(-1.0 if i & step else 1.0) for i in range(dim)))
-        swapped = F.transform(at, lambda i, out=out: F.get(out, i))
-        out = F.zip_with(swapped, F.zip_with(out, sign, lambda x, s: x * s), lambda a, b: a + b)
-        step *= 2
-    return F.transform(out, lambda x: F.round(x / F.lit(math.sqrt(dim)), 9))
+    others = [c for c in df.columns if c != v]
+    signs = ";".join(",".join("-1" if (i & j).bit_count() & 1 else "1" for i in range(dim)) for j in range(dim))
+    matrix = F.transform(F.split(F.lit(signs), ";"), lambda r: F.split(r, ",").cast("array<double>"))
+    base = df.select(*others, made_once(F.col(v)).alias(v))
+    row = lambda r: F.round(dot(F.col(v), r) / F.lit(math.sqrt(dim)), 9)
+    return base.select(*others, made_once(F.transform(matrix, row)).alias(out))
 
 
 def levels(v: Column, bits: int, value_range: float = 1.0) -> Column:

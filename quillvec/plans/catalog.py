@@ -55,7 +55,7 @@ def vectors(spark, sf_dir: str) -> DataFrame:
 
 
 def rotated(spark, sf_dir: str) -> DataFrame:
-    return vectors(spark, sf_dir).select("vec_id", "label", exprs.hadamard(F.col("v"), DIM).alias("y"))
+    return exprs.hadamard(vectors(spark, sf_dir), "v", DIM, "y")
 
 
 def encoded(spark, sf_dir: str, c: IndexConfig | None = None) -> DataFrame:
@@ -110,9 +110,9 @@ def normalize_vectors(spark, sf_dir):
     return vectors(spark, sf_dir).select("vec_id", F.posexplode("v").alias("place", "x")).select("vec_id", "place", F.round("x", 9).alias("value"))
 
 
-@register("rotate_srht", f"WITH {ROTATED} SELECT vec_id, CAST(unnest(range({DIM})) AS INTEGER) AS place, round(unnest(y), 6) AS value FROM t")
+@register("rotate_srht", f"WITH {ROTATED} SELECT vec_id, CAST(unnest(range({DIM})) AS INTEGER) AS place, unnest(y) AS value FROM t")
 def rotate_srht(spark, sf_dir):
-    return rotated(spark, sf_dir).select("vec_id", F.posexplode("y").alias("place", "x")).select("vec_id", "place", F.round("x", 6).alias("value"))
+    return rotated(spark, sf_dir).select("vec_id", F.posexplode("y").alias("place", "value"))
 
 
 def _levels(bits: int):
@@ -159,11 +159,11 @@ def dequantize_error(spark, sf_dir):
     return r.select("vec_id", F.round(F.array_max(F.zip_with("y", "deq", lambda a, b: F.abs(a - b))), 8).alias("largest_error"))
 
 
-@register("compressed_dot_symmetric", f"WITH {ENCODED} SELECT d.vec_id, round(list_dot_product(d.deq, f.deq), 6) AS score FROM d, (SELECT deq FROM d WHERE vec_id = {FIRST}) f")
+@register("compressed_dot_symmetric", f"WITH {ENCODED} SELECT d.vec_id, round(list_dot_product(d.deq, f.deq), 6) + 0.0 AS score FROM d, (SELECT deq FROM d WHERE vec_id = {FIRST}) f")
 def compressed_dot_symmetric(spark, sf_dir):
     d = rotated(spark, sf_dir).select("vec_id", exprs.dequantized(exprs.levels(F.col("y"), 3), 3).alias("deq"))
     first = d.orderBy("vec_id").limit(1).select(F.col("deq").alias("f"))
-    return d.crossJoin(F.broadcast(first)).select("vec_id", F.round(exprs.dot(F.col("deq"), F.col("f")), 6).alias("score"))
+    return d.crossJoin(F.broadcast(first)).select("vec_id", (F.round(exprs.dot(F.col("deq"), F.col("f")), 6) + 0.0).alias("score"))
 
 
 WORDS = ENCODED + """,
@@ -409,10 +409,10 @@ def _lit(x) -> str:
     return "NULL" if x is None else str(x) if isinstance(x, int) else "'" + x.replace("'", "''") + "'"
 
 
-@register("coerce_records", "SELECT * FROM (VALUES " + ", ".join("(" + ", ".join(map(_lit, (i, *r[1:]))) + ")" for i, r in enumerate(RAW)) + ") v(line, chunk_id, text, source_doc, page_num, section, metadata, error)")
+@register("coerce_records", "SELECT * FROM (VALUES " + ", ".join("(" + ", ".join(map(_lit, (i, *r[1:4], -1 if r[4] is None else r[4], *r[5:]))) + ")" for i, r in enumerate(RAW)) + ") v(line, chunk_id, text, source_doc, page_num, section, metadata, error)")
 def coerce_records(spark, sf_dir):
     rows = spark.createDataFrame([(i, r[0]) for i, r in enumerate(RAW)], "line int, value string")
-    return hydrate.coerce_records(rows).drop("embedding")
+    return hydrate.coerce_records(rows).drop("embedding").withColumn("page_num", F.coalesce("page_num", F.lit(-1)))
 
 
 # -- chunking
