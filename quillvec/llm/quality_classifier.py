@@ -8,8 +8,8 @@ with the least hashes of doc_id, are used to fit, which bounds what the driver r
 
 Defined cases: statistics that don't exist (no words, no letters) count as -1, so that null and empty texts are scored
 like other texts without words. Labels that are null, that contradict each other for one doc_id, or that belong to no
-document are not used. With no labels, or only one class, no rule can be fitted: every document gets the share of good
-labels (one half with no labels) as its score. Repeated rows are scored alike. ``scored`` keeps the columns of its input
+document are not used. With no labels, only one class, or too few rows for a split (20), no rule can be fitted: every
+document gets the share of good labels (one half with no labels) as its score. Repeated rows are scored alike. ``scored`` keeps the columns of its input
 in a struct, whatever their names; an empty table gives an empty result; texts of any length are measured whole.
 """
 
@@ -90,6 +90,8 @@ def fit(x: np.ndarray, y: np.ndarray) -> tuple[float, list[tuple[Rule, float]]]:
         score += step
         rules += found
     rules = list(dict.fromkeys(tuple(sorted(r)) for r in rules))
+    if not rules:
+        return round(intercept, 6), []
     z = np.stack([covers(r, x) for r in rules], 1).astype(float)
     _, one_of_each = np.unique(z, axis=1, return_index=True)
     rules, z = [rules[i] for i in sorted(one_of_each)], z[:, sorted(one_of_each)]

@@ -312,7 +312,10 @@ def _encoded(path: str, names: list[str], at: int, check: bool):
 
 def encode(docs: DataFrame, path: str = MODEL, column: str = "text", ids: str = "token_ids", check: str | None = None) -> DataFrame:
     """``docs`` with the piece ids of a text column (and, in ``check``, whether decoding them restores the text)."""
-    schema = T.StructType([*docs.schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType()))] + [T.StructField(check, T.BooleanType())] * bool(check))
+    added = [T.StructField(ids, T.ArrayType(T.IntegerType()))]
+    if check:
+        added.append(T.StructField(check, T.BooleanType()))
+    schema = T.StructType([*docs.schema.fields, *added])
     # positional names inside the Arrow batch: names of the input may clash or repeat
     plain = T.StructType([T.StructField(f"c{i}", f.dataType) for i, f in enumerate(schema.fields)])
     inner = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
