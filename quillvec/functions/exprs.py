@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -84,9 +86,6 @@ def hamming(a: Column, b: Column) -> Column:
 
 def register_sql_functions(spark: SparkSession) -> None:
     """Names for SQL users: ``vec_quantize(v, bits, range)``, ``vec_hamming(a, b)`` and the table function ``chunk_text``."""
-    import numpy as np
-    import pandas as pd
-
     from quillvec.functions import codec
     from quillvec.operators.chunking import ChunkText
 
