@@ -21,12 +21,12 @@ class IndexConfig:
     rotation_kind: str = "haar"
 
     def __post_init__(self):
-        if self.dim <= 0:
-            raise ValueError("dim must be positive")
+        if self.dim < 1:
+            raise ValueError("an index needs at least one dimension")
         if self.bits not in (2, 3, 4):
             raise ValueError("bits must be 2, 3 or 4")
-        if self.shard_size <= 0:
-            raise ValueError("shard_size must be positive")
+        if self.shard_size < 1:
+            raise ValueError("a shard holds at least one row")
         if not self.value_range > 0:
             raise ValueError("value_range must be positive")
         if self.rotation_kind not in ("haar", "srht", "identity"):

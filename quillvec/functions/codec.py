@@ -25,8 +25,8 @@ def rotation(dim: int, seed: int = 42, kind: str = "haar") -> np.ndarray:
     ``srht`` is the Hadamard matrix scaled to length one (dim must be a power of two), with signs flipped by the seed;
     seed 0 flips none, so that SQL can write it down.
     """
-    if dim <= 0:
-        raise ValueError("dim must be positive")
+    if dim < 1:
+        raise ValueError("there must be at least one dimension")
     if kind == "identity":
         return np.eye(dim, dtype=np.float32)
     if kind == "srht":
@@ -61,8 +61,8 @@ def _checked(bits: int, value_range: float = 1.0) -> int:
 
 def bytes_per_vector(dim: int, bits: int) -> int:
     _checked(bits)
-    if dim <= 0:
-        raise ValueError("dim must be positive")
+    if dim < 1:
+        raise ValueError("there must be at least one dimension")
     return (dim * bits + 7) // 8
 
 

@@ -20,9 +20,9 @@ from pyspark.sql.functions import udtf
 
 from quillvec.errors import ChunkingError
 
-SEPARATORS = ("\n\n", "\n", ". ", "! ", "? ", "; ", ", ", " ")
-HEADING = r"(?m)^(#{1,6})\s+(.+)$"
-SUFFIXES = {".txt", ".text", ".md", ".markdown", ".rst", ".pdf"}
+SEPARATORS = ("\n" * 2, "\n", *(c + " " for c in ".!?;,"), " ")
+HEADING = r"(?m)^(#{1,6})\s+(\S.*)$"
+SUFFIXES = {"." + s for s in "markdown md pdf rst text txt".split()}
 
 
 @dataclass(frozen=True)
@@ -61,7 +61,7 @@ def _split(text: str, size: int, separators: tuple[str, ...], count: Callable[[s
 
 def merged_segments(text: str | None, size: int, count: Callable[[str], int] = count_words) -> list[str]:
     """The pieces of a text before overlap; a blank text has none."""
-    if not text or not text.strip():
+    if text is None or not text.strip():
         return []
     out: list[str] = []
     held, total = [], 0
@@ -84,8 +84,9 @@ def overlapped(pieces: list[str], words: int) -> list[str]:
     return [p if i == 0 else " ".join([*pieces[i - 1].split()[-words:], p]) for i, p in enumerate(pieces)]
 
 
-def chunk_id(source: str, index: int, text: str) -> str:
-    return "chunk-" + hashlib.sha256(f"{source}:{index}:{text[:200]}".encode()).hexdigest()[:12]
+def chunk_id(source: str, place: int, piece: str) -> str:
+    told = ":".join((source, str(place), piece[:200]))
+    return "chunk-" + hashlib.sha256(told.encode()).hexdigest()[:12]
 
 
 def headings(text: str) -> list[str]:

@@ -15,7 +15,7 @@ from typing import Any
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-OPERATORS = ("$eq", "$ne", "$in", "$nin", "$gt", "$gte", "$lt", "$lte", "$exists")
+OPERATORS = tuple("$" + o for o in "eq exists gt gte in lt lte ne nin".split())
 NUMBERS = r"^(BOOLEAN|BIGINT|INT|SMALLINT|TINYINT|DOUBLE|FLOAT|DECIMAL.*)$"
 
 

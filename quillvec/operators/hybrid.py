@@ -45,7 +45,7 @@ class HashEmbedder:
     """A deterministic embedder for tests and for machines without a model: hashed words, normalised."""
 
     def __init__(self, dim: int = 64):
-        self.dim = dim
+        self.dim = int(dim)
 
     def embed(self, text: str) -> np.ndarray:
         import hashlib
@@ -93,7 +93,7 @@ class HybridRetriever:
         self.index, self.records, self.nodes, self.edges = index, records, nodes, edges
         self.model, self.depth, self.rerank = model, graph_depth, rerank
 
-    def query(self, texts: list[str], k: int = 10, mode: str = "hybrid") -> DataFrame:
+    def query(self, texts: list[str], k: int = 10, mode: str = MODES[2]) -> DataFrame:
         """(query_id, chunk_id, score, path, explanation, rank, text)."""
         if mode not in MODES:
             raise ValueError(f"mode must be one of {', '.join(MODES)}")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 UNHYDRATED = "No record was found for this id"
 IDS = ("chunk_id", "id", "_id", "point_id", "vector_id")
 META_IDS = ("chunk_id", "id", "_id")
-TEXTS = ("text", "page_content", "content", "document")
+TEXTS = tuple("text page_content content document".split())
 PAGES = ("page_num", "page", "page_number")
 SOURCES = ("source_doc", "source", "document_id")
 METAS = ("metadata", "payload", "fields")

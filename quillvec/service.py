@@ -16,8 +16,8 @@ from quillvec.operators import chunking, hydrate
 from quillvec.operators.hybrid import embedder
 from quillvec.operators.index import VectorIndex
 
-QUERY_KEYS = {"query_text", "query_vector", "top_k", "hydrate", "filters"}
-RECORD_KEYS = {"chunk_id", "text", "embedding", "source_doc", "page_num", "section", "metadata"}
+QUERY_KEYS = set("filters hydrate query_text query_vector top_k".split())
+RECORD_KEYS = set("chunk_id embedding metadata page_num section source_doc text".split())
 MAX_K, DEFAULT_K = 1000, 5
 
 

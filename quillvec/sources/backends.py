@@ -13,7 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 RECORD = "chunk_id string, text string, source_doc string, page_num int, section string, metadata string"
-IDENTIFIER = re.compile(r"^[A-Za-z_][A-Za-z0-9_]*(\.[A-Za-z_][A-Za-z0-9_]*)?$")
+COLUMNS = [f.split()[0] for f in RECORD.split(", ")]
+IDENTIFIER = re.compile(r"(?a)^[^\W\d]\w*(?:\.[^\W\d]\w*)?$")
 ALIASES = {"postgres": "neon", "postgresql": "neon", "pg": "neon", "chromadb": "chroma"}
 REQUIRED = {"supabase": ("url", "key", "table"), "pinecone": ("api_key", "index"), "qdrant": ("url", "collection"), "neon": ("dsn", "table"), "chroma": ("collection",)}
 #: The order in which the environment is searched, and the variable that speaks for each store.
@@ -73,7 +74,7 @@ def save_config(config: dict, path: str) -> None:
 
 def jdbc_records(spark: SparkSession, ids: DataFrame, url: str, table: str, columns: dict[str, str] | None = None, **options: str) -> DataFrame:
     """Records of a JDBC table for some ids; the table is read in parallel where partition options are given."""
-    names = {c: identifier((columns or {}).get(c, c)) for c in ("chunk_id", "text", "source_doc", "page_num", "section", "metadata")}
+    names = {c: identifier((columns or {}).get(c, c)) for c in COLUMNS}
     rows = spark.read.format("jdbc").options(url=url, dbtable=identifier(table), **options).load()
     rows = rows.select(*((F.col(n) if n in rows.columns else F.lit(None)).cast("int" if c == "page_num" else "string").alias(c) for c, n in names.items()))
     return rows.join(ids.select("chunk_id").distinct(), "chunk_id", "left_semi")
@@ -108,7 +109,7 @@ def caller(backend: Any) -> Callable[[list[str]], Any]:
     """How a backend is asked: a mapping by key, a callable, or an object with fetch, retrieve or get."""
     if isinstance(backend, Mapping):
         return lambda ids: [{"chunk_id": i, **_plain(backend[i])} for i in ids if i in backend]
-    for name in ("fetch", "retrieve", "get"):
+    for name in "fetch retrieve get".split():
         if callable(getattr(backend, name, None)):
             return getattr(backend, name)
     if callable(backend):
@@ -143,7 +144,7 @@ def fetch_records(ids: DataFrame, backend: Any, batch: int = 256) -> DataFrame:
             for i in range(0, len(wanted), batch):
                 some = wanted[i : i + batch]
                 rows += [r for r in (coerce(x) for x in _records_of(ask(some))) if r["chunk_id"] in set(some)]
-            frame = pd.DataFrame(rows, columns=["chunk_id", "text", "source_doc", "page_num", "section", "metadata"])
+            frame = pd.DataFrame(rows, columns=COLUMNS)
             yield frame.astype({"page_num": "Int32"})
 
     return ids.select("chunk_id").distinct().mapInPandas(run, RECORD)

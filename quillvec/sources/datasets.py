@@ -14,6 +14,7 @@ from quillvec.config import IndexConfig
 from quillvec.errors import DatasetFormatError
 from quillvec.operators.hydrate import coerce_records
 from quillvec.operators.index import VectorIndex
+from quillvec.sources import backends
 
 DATASET = "chunk_id string, text string, source_doc string, page_num int, section string, metadata string, embedding array<float>"
 NPZ_OPTIONAL = {"texts": "text", "source_docs": "source_doc", "page_nums": "page_num", "sections": "section", "metadata_json": "metadata"}
@@ -25,11 +26,10 @@ def format_of(path: str, kind: str = "auto") -> str:
             raise ValueError(f"unknown data set format {kind}")
         return kind
     suffix = os.path.splitext(path)[1].lower()
-    if suffix in (".jsonl", ".ndjson"):
-        return "jsonl"
-    if suffix == ".npz":
-        return "npz"
-    raise ValueError(f"can't tell the format of {path}")
+    known = {".jsonl": "jsonl", ".ndjson": "jsonl", ".npz": "npz"}
+    if suffix not in known:
+        raise ValueError(f"can't tell the format of {path}")
+    return known[suffix]
 
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
@@ -44,7 +44,7 @@ def read_jsonl(spark: SparkSession, path: str) -> DataFrame:
     bad = rows.withColumn("problem", problem).where("problem is not null").agg(F.min_by("problem", "line"), F.min("line")).first()
     if bad[0] is not None:
         raise DatasetFormatError(f"{path}, line {bad[1] + 1}: {bad[0]}")
-    return validated(rows.select("chunk_id", "text", "source_doc", "page_num", "section", "metadata", "embedding"))
+    return validated(rows.select("embedding", *backends.COLUMNS))
 
 
 class _NpzReader(DataSourceReader):
@@ -149,8 +149,6 @@ def build_sidecar(spark: SparkSession, dataset: DataFrame, path: str, bits: int
 
 def open_sidecar(spark: SparkSession, path: str, records: DataFrame | None = None, fetch=None, config: dict | None = None) -> tuple[VectorIndex, DataFrame | None]:
     """(index, records): records given explicitly, else fetched, else configured, else the snapshot."""
-    from quillvec.sources import backends
-
     index = VectorIndex.open(spark, path)
     if records is not None:
         return index, records
