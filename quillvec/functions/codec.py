@@ -85,7 +85,10 @@ def unpack(codes: np.ndarray, dim: int, bits: int) -> np.ndarray:
     if codes.shape[1] != bytes_per_vector(dim, bits):
         raise ValueError("codes have the wrong width")
     planes = np.unpackbits(codes, axis=1, bitorder="little", count=dim * bits).reshape(len(codes), dim, bits)
-    return (planes << np.arange(bits, dtype=np.uint8)).sum(2, dtype=np.uint8)
+    out = planes[:, :, 0].copy()
+    for b in range(1, bits):
+        out |= planes[:, :, b] << np.uint8(b)
+    return out
 
 
 def quantize(x: np.ndarray, bits: int = 3, value_range: float = 1.0) -> np.ndarray:

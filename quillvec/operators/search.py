@@ -41,6 +41,15 @@ def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return np.arange(n)
 
 
+def _picked(scores: np.ndarray, ids: np.ndarray, names: np.ndarray, k: int) -> pa.RecordBatch:
+    """The best k rows of each query (a column of scores) as hits."""
+    by_query = np.ascontiguousarray(scores.T)
+    places = [_best(own, ids, k) for own in by_query]
+    sizes, flat = [len(p) for p in places], np.concatenate(places)
+    columns = [pa.array(np.repeat(names, sizes), pa.string()), pa.array(ids[flat], pa.string()), pa.array(by_query[np.repeat(np.arange(len(names)), sizes), flat])]
+    return pa.RecordBatch.from_arrays(columns, names=["query_id", "chunk_id", "score"])
+
+
 def _turns(prepared: np.ndarray):
     step = max(1, MAX_QUERY_BYTES // max(1, prepared.shape[1] * 8))
     return range(0, len(prepared), step), step
@@ -74,11 +83,7 @@ def search_codes(vectors: DataFrame, config: IndexConfig, prepared: np.ndarray,
                 if levels is None:
                     continue
                 scores = np.round(levels.astype(np.float64) @ weights + bias, DIGITS)
-                places = [_best(scores[:, q], ids, k) for q in range(len(names))]
-                sizes = [len(p) for p in places]
-                flat = np.concatenate(places)
-                columns = [np.repeat(names, sizes), ids[flat], scores[flat, np.repeat(np.arange(len(names)), sizes)]]
-                yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.string()), pa.array(columns[2])], names=["query_id", "chunk_id", "score"])
+                yield _picked(scores, ids, names, k)
 
         parts.append(rows.mapInArrow(scan, HITS))
     return top_k(reduce(DataFrame.unionByName, parts), k)
@@ -98,10 +103,7 @@ def search_floats(vectors: DataFrame, queries: np.ndarray, query_ids: Sequence[s
                 continue
             ids = batch.column("chunk_id").to_numpy(zero_copy_only=False)
             scores = np.round(unit(codec.matrix_of(batch.column("embedding"), dim, np.float64)) @ q.T, DIGITS)
-            places = [_best(scores[:, i], ids, k) for i in range(len(names))]
-            sizes = [len(p) for p in places]
-            flat = np.concatenate(places)
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(names, sizes), pa.string()), pa.array(ids[flat], pa.string()), pa.array(scores[flat, np.repeat(np.arange(len(names)), sizes)])], names=["query_id", "chunk_id", "score"])
+            yield _picked(scores, ids, names, k)
 
     rows = vectors.select(F.col("chunk_id").cast("string").alias("chunk_id"), "embedding")
     return top_k(rows.mapInArrow(scan, HITS), k)
@@ -137,9 +139,7 @@ def search_frame(vectors: DataFrame, queries: DataFrame, config: IndexConfig, ma
                 levels = codec.unpack(np.frombuffer(r["data"], np.uint8).reshape(len(ids), -1), config.dim, config.bits)
                 weights, bias = codec.affine(np.frombuffer(r["query_data"]).reshape(len(names), -1), config.bits, config.value_range)
                 scores = np.round(levels.astype(np.float64) @ weights + bias, DIGITS)
-                places = [_best(scores[:, q], ids, k) for q in range(len(names))]
-                sizes, flat = [len(p) for p in places], np.concatenate(places)
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(names, sizes), pa.string()), pa.array(ids[flat], pa.string()), pa.array(scores[flat, np.repeat(np.arange(len(names)), sizes)])], names=["query_id", "chunk_id", "score"])
+                yield _picked(scores, ids, names, k)
 
     return top_k(pairs.mapInArrow(score, HITS), k)
 
