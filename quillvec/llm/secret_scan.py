@@ -2,7 +2,10 @@
 
 Every ``=``, ``:``, ``:=`` and ``=>`` of a text is read as a possible assignment: a name (identifier, dotted or bracketed
 path, or quoted key) before it, an expression after it: quoted literals, names, and their concatenations with ``+``; in
-configuration syntax also a bare value. Constants are propagated in textual order: a literal carries every name it
+configuration syntax also a bare value. A bare word that is all there is on a key/value line, whatever the operator, or that
+follows a tight ``=`` and has a digit, is a literal like a quoted one, unless it reads as a name: it was assigned to above,
+it is a path or a sensitive name without digits (``user_password``), or it has no digit but at its end and the text uses it
+elsewhere than as such a value. The word for an authorization scheme is no part of the literal. Constants are propagated in textual order: a literal carries every name it
 flows to, directly, through other names, or as a part of a concatenation. A literal is scored by the most sensitive of
 those names, times its strength (length, entropy and character classes); placeholders have none. Literals that reach
 ``THRESHOLD`` are secrets.
@@ -30,12 +33,15 @@ OPERATOR = re.compile(r":=|=>|(?<![=!<>+\-*/%&|^~:])=(?![=~])|(?<![:\w]):(?![:=/
 STRING = re.compile(r"""[fFrRbBuU]{0,2}(?:\"\"\"(?P<t>.*?)\"\"\"|'''(?P<u>.*?)'''|"(?P<d>(?:[^"\\\n]|\\.)*)"|'(?P<s>(?:[^'\\\n]|\\.)*)'|`(?P<b>[^`\n]*)`)""", re.S)
 NAME = re.compile(r"[A-Za-z_$][\w$]*(?:(?:\.|->|::)[A-Za-z_$][\w$]*|\[[\"'][\w.\-]+[\"']\])*")
 BARE = re.compile(r"[^\s\"'`,;#<>(){}\[\]|]+")
+SOLE = re.compile(r"[ \t]*(?:[ \t]#[^\n]*)?(?:\r?\n|\Z)")
+SCHEME = re.compile(r"(?i)(?:bearer|basic|digest|token|negotiate|api-?key)[ \t]+(?=\S)")
+WORD, PATH = re.compile(r"[A-Za-z_$][\w$]*"), re.compile(r"\.|->|::|\[")
 BLANK = re.compile(r"[ \t]*(?:\\\n[ \t]*)?")
 PIECE = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
 SENSITIVE = {"password": 1.0, "passwd": 1.0, "passphrase": 1.0, "pwd": 1.0, "pass": 0.9, "secret": 1.0, "secrets": 1.0, "token": 0.9, "tokens": 0.9, "apikey": 0.9, "credential": 0.9, "credentials": 0.9, "bearer": 0.9, "authorization": 0.8, "auth": 0.7, "jwt": 0.8, "signature": 0.6, "salt": 0.6}
 KEY_KINDS = {"api", "access", "private", "secret", "encryption", "signing", "account", "master", "auth", "ssh", "client", "service", "app"}
 HARMLESS = {"count", "counts", "length", "len", "size", "max", "min", "limit", "type", "name", "url", "uri", "path", "file", "field", "label", "policy", "id", "hint", "placeholder", "regex", "pattern", "expiry", "ttl", "public"}
-PLACEHOLDER = re.compile(r"(?i)^(?:x{3,}|\*{3,}|\.{3,}|-+|_+|0+|1234\w*|change_?me\S*|replace_?me\S*|your[_\- ].*|my[_\- ]?(?:password|secret|token|key).*|<.*>|\$\{.*\}|\$\(.*\)|\$\w+|\{\{.*\}\}|%\w+%|null|none|nil|undefined|true|false|example\S*|sample\S*|dummy\S*|test|todo|tbd|n/?a|redacted|\[secret\]|password|secret|token|string|str|int|optional|required)$")
+PLACEHOLDER = re.compile(r"(?i)^(?:x{3,}|\*{3,}|\.{3,}|-+|_+|0+|(?:1234567890)*1234(?:5(?:6(?:7(?:8(?:90?)?)?)?)?)?|change_?me\S*|replace_?me\S*|your[_\- ].*|my[_\- ]?(?:password|secret|token|key).*|<.*>|\$\{.*\}|\$\(.*\)|\$\w+|\{\{.*\}\}|%\w+%|null|none|nil|undefined|true|false|example\S*|sample\S*|dummy\S*|test|todo|tbd|n/?a|redacted|\[secret\]|password|secret|token|string|str|int|optional|required)$")
 
 
 def name_weight(name: str) -> float:
@@ -90,25 +96,46 @@ def _before(text: str, i: int) -> str | None:
     return name if name and not name[0].isdigit() else None
 
 
+def _alone(text: str, i: int) -> bool:
+    """Whether a key and an operator are all there is on the line before position i."""
+    line_start = text.rfind("\n", 0, i) + 1
+    prefix = re.sub(r"^\s*(?:export|set|-|\+)?\s*", "", text[line_start:i])
+    return re.fullmatch(r"[\"']?[\w.\-$\[\]\"']+\s*(?:=|:|:=|=>)\s*", prefix) is not None
+
+
+def _after_scheme(text: str, i: int) -> tuple[int, int] | None:
+    """The credential after the word for an authorization scheme at i, if it ends its line or its quoted string."""
+    m = SCHEME.match(text, i)
+    bare = BARE.match(text, m.end()) if m else None
+    if bare and (text[bare.end() : bare.end() + 1] in ("'", '"', "`") or SOLE.match(text, bare.end())):
+        return bare.span()
+    return None
+
+
 def _expression(text: str, i: int, op: str, name: str) -> list[tuple]:
-    """Terms ("lit", start, end) or ("ref", name) of the expression that starts at i."""
+    """Terms ("lit", start, end), ("ref", name), ("name", start, end) or ("word", start, end) of the expression that starts at i.
+
+    A "name" is an identifier alone, a "word" one that stands where a configuration value does.
+    """
     terms: list[tuple] = []
     while True:
         i = BLANK.match(text, i).end()
         m = STRING.match(text, i)
         if m:
             g = m.lastgroup
-            terms.append(("lit", m.start(g), m.end(g)))
+            whole = m.span(g)
+            held = _after_scheme(text, whole[0])
+            terms.append(("lit", *(held if held and held[1] == whole[1] else whole)))
             i = m.end()
         else:
+            held = None if terms else _after_scheme(text, i)
+            if held:
+                return [("lit", *held)]
             m = NAME.match(text, i)
             end = m.end() if m else i
             bare = BARE.match(text, i)
             if not terms and bare and bare.end() > end and text[i] not in "=+":
-                line_start = text.rfind("\n", 0, i) + 1
-                prefix = re.sub(r"^\s*(?:export|set|-|\+)?\s*", "", text[line_start:i])
-                alone = re.fullmatch(r"[\"']?[\w.\-$\[\]\"']+\s*(?:=|:|:=|=>)\s*", prefix) is not None
-                if op in ("=", ":=") or alone:
+                if op in ("=", ":=") or _alone(text, i):
                     stop = bare.end()
                     while stop > bare.start() and text[stop - 1] in ".!?:":
                         stop -= 1
@@ -120,7 +147,9 @@ def _expression(text: str, i: int, op: str, name: str) -> list[tuple]:
                 return terms  # a call: its value isn't known
             if not terms:
                 # an identifier alone: a name, or a bare configuration value
-                terms.append(("name", i, end))
+                tight = op == "=" and text[i - 1] == "=" and not text[i - 2].isspace() and any(c.isdigit() for c in text[i:end])
+                sole = SOLE.match(text, end) and _alone(text, i) or tight and text[end : end + 1] in ("", " ", "\t", "\r", "\n", "'", '"')
+                terms.append(("word" if sole else "name", i, end))
             else:
                 terms.append(("ref", text[i:end]))
             i = end
@@ -140,6 +169,7 @@ def scan(text: str | None) -> list[tuple[int, int, str, float]]:
     if not text or ("=" not in text and ":" not in text):
         return []
     values: dict[str, frozenset] = {}
+    words: set[tuple[int, int]] = set()
     flows: dict[tuple[int, int], tuple[float, str]] = {}
     for m in OPERATOR.finditer(text):
         name = _before(text, m.start())
@@ -157,14 +187,22 @@ def scan(text: str | None) -> list[tuple[int, int, str, float]]:
                     parts |= values[word]
                 elif m.group() in ("=", ":=") and strength(word) == 1.0:
                     parts.add(term[1:])
+                elif term[0] == "word" and (any(c.isdigit() for c in word) or not name_weight(word) and not PATH.search(word)):
+                    parts.add(term[1:])
+                    words.add(term[1:])
         values[name] = frozenset(parts)
         weight = name_weight(name)
         for p in parts:
             if weight > flows.get(p, (-1.0, ""))[0]:
                 flows[p] = (weight, name)
     out = []
+    used, as_value = None, Counter(text[a:b] for a, b in words)
     for (a, b), (weight, name) in flows.items():
         score = weight * strength(text[a:b]) if weight else 0.0
+        if score >= THRESHOLD and (a, b) in words and re.fullmatch(r"[^\d]+\d{0,2}", text[a:b]):
+            used = Counter(WORD.findall(text)) if used is None else used
+            if used[text[a:b]] > as_value[text[a:b]]:
+                continue
         if score >= THRESHOLD:
             out.append((a, b, name, round(score, 6)))
     out.sort()
