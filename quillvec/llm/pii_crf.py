@@ -1,14 +1,17 @@
 """Personal data found by a skip-chain conditional random field.
 
-Tokens are runs of non-blank characters. A token without a digit and without "@" can't be personal data here: its label is
-clamped to "O". The others are nodes with a label each (O, EMAIL, PHONE, CARD, IP, SSN, IBAN). Unary potentials come from
+Tokens are runs of non-blank characters, cut further at marks such as ``: , ; = " ' < > ( ) { } | [ ]`` (and ``/ & ? #``
+where the run holds "@" or "://"), so that each address or number glued to other text is a token of its own; the marks of amounts,
+times, ports, area codes and a URL's user are not cut at. A cut parts tokens as a word between them would. A token without a digit and without "@" can't be personal data here: its label is
+clamped to "O". The others are nodes with a label each (O, EMAIL, PHONE, CARD, IP, SSN, IBAN, SECRET: a key of a known form or a word glued to "password="). Unary potentials come from
 the token's shape, checksums and neighbouring words; chain potentials join nodes that stand next to each other (a clamped
 neighbour contributes its "O"); skip potentials join each token to the next one in the document that repeats it or has
 the same digits, however far away. Loopy belief propagation passes messages along both kinds of edges, over the whole
 document, so that an entity recognised in one place is recognised where its context says less. The weights are fitted here
 by penalised pseudo-likelihood on sentences that ``training_documents`` makes up; no text of the corpus is used.
 
-Neighbouring tokens with the same label form an entity, and ``[LABEL]`` replaces it in the text.
+Neighbouring tokens with the same label form an entity (so do the groups of one IBAN, known by its checksum, with the
+bank's letters among them), and ``[LABEL]`` replaces it in the text.
 
 Defined cases: null and empty texts have no entities and are returned as they are. Repeated rows give equal results, and
 ties of belief go to the first label, "O" before others. An empty table gives an empty result. ``redact`` keeps the
@@ -27,7 +30,7 @@ from pyspark.sql import functions as F
 
 from quillvec.llm import textbytes as tb
 
-LABELS = ["O", "EMAIL", "PHONE", "CARD", "IP", "SSN", "IBAN"]
+LABELS = ["O", "EMAIL", "PHONE", "CARD", "IP", "SSN", "IBAN", "SECRET"]
 K, ROUNDS, DAMPING = len(LABELS), 12, 0.3
 BLANKS = np.ones(256, bool)
 BLANKS[[9, 10, 11, 12, 13, 28, 29, 30, 31, 32]] = False
@@ -35,6 +38,11 @@ EVIDENCE = np.zeros(256, bool)
 EVIDENCE[[*range(48, 58), 64]] = True
 
 STRIP = ".,;:!?\"'`<>[]{}#$%&*|=~_/\\^"
+SEPARATOR = re.compile(r"[:,;=\"'<>(){}|\[\]\\`]")
+WITH_SLASH = re.compile(SEPARATOR.pattern[:-1] + "&?/#]")
+KEPT = re.compile(r"\(\d{2,4}\)(?=[\d.\-/]|$)|(?<![\d.,])\d{1,3}(?:,\d{3})+(?![\d\-])|(?<![\d:])\d\d?:\d\d(?::\d\d)?(?![\d:])|(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?::\d{1,5}|/\d\d?)(?![\d.])|(?<=://)[^/\s@]+@")
+IBAN_HEAD, IBAN_GROUP = re.compile(r"^[A-Z]{2}\d{2}$"), re.compile(r"^[A-Z0-9]{1,8}$")
+PHONE_HEAD, PHONE_GROUP = re.compile(r"^(?:\+\d{1,3}|\(0\d{1,4}\)|0\d{1,4})$"), re.compile(r"^(?:\d{1,8}|\(\d{1,4}\))$")
 EMAIL = re.compile(r"(?i)^(?:mailto:)?[\w.+\-%]+@[a-z0-9\-]+(?:\.[a-z0-9\-]+)*\.[a-z]{2,}$")
 IP4 = re.compile(r"^(\d{1,3})\.(\d{1,3})\.(\d{1,3})\.(\d{1,3})(?::\d{1,5}|/\d{1,2})?$")
 CONTEXT = {
@@ -44,6 +52,7 @@ CONTEXT = {
     "ip": {"ip", "host", "server", "address", "addr", "from", "client", "adresse"},
     "ssn": {"ssn", "social", "security"},
     "iban": {"iban", "account", "konto", "cuenta", "compte", "bank"},
+    "secret": {"password", "passwd", "pwd", "passphrase", "secret"},
     "version": {"version", "v", "release", "ver", "chapter", "section", "fig", "page", "kapitel"},
     "amount": {"order", "id", "no", "nr", "number", "item", "invoice", "total", "price", "usd", "eur", "$", "€", "year", "in", "count", "ref", "isbn"},
 }
@@ -91,6 +100,8 @@ def shape(core: str) -> tuple[str, ...]:
         f.append("seven with mark")
     if re.match(r"^\d{3}-\d{2}-\d{4}$", core):
         f.append("ssn")
+    if re.match(r"^\(?0\d{1,4}(?:[\-/.]|\)[\-/.]?)\d{3,8}([\-/.]\d{2,8})*$|^0\d([.\-]\d\d){4}$", core) and 9 <= n <= 13:
+        f.append("national")
     if re.match(r"^(\d{4}-){3}\d{1,7}$", core):
         f.append("card groups")
     if iban(core):
@@ -101,6 +112,8 @@ def shape(core: str) -> tuple[str, ...]:
         f.append("time")
     if re.match(r"^[$€£]?\d{1,3}(,\d{3})*(\.\d+)?%?$", core):
         f.append("amount")
+    if re.match(r"^(?:AKIA|ASIA)[A-Z0-9]{16}$|^(?:sk|pk|rk)_(?:live|test)_\w{16,}$|^gh[opsu]_\w{30,}$", core):
+        f.append("key form")
     if letters and n and re.match(r"^[0-9a-fA-F]{20,}$", core):
         f.append("hex")
     return tuple(f)
@@ -116,6 +129,56 @@ def core_of(token: str) -> tuple[int, int]:
     return a, b
 
 
+@functools.lru_cache(1 << 16)
+def pieces(token: str) -> tuple[tuple[int, int], ...]:
+    """The places of the parts of a token that stand for themselves, without the marks around them; at least one."""
+    a, b = core_of(token)
+    core = token[a:b]
+    marks = WITH_SLASH if "@" in core or "://" in core else SEPARATOR
+    if not marks.search(core):
+        return ((a, b),)
+    kept = {k for m in KEPT.finditer(core) for k in range(*m.span())}
+    cuts = [(m.start(), m.end()) for m in marks.finditer(core) if m.start() not in kept]
+    # an area code is cut off from a word before it
+    cuts += [(k, k) for k in kept if core[k] == "(" and k and core[k - 1].isalpha()]
+    out, at = [], 0
+    for start, end in [*sorted(cuts), (len(core), len(core))]:
+        low, high = core_of(core[at:start])
+        if high > low:
+            out.append((a + at + low, a + at + high))
+        at = end
+    return tuple(out) or ((a, b),)
+
+
+def is_candidate(piece: str) -> bool:
+    return any(c.isdigit() and c.isascii() or c == "@" for c in piece)
+
+
+def iban_run(i: int, at: list[int], cores: list[str], after: list[str]) -> int:
+    """The last node of the grouped IBAN that starts at node i, or i; four letters may stand between two nodes."""
+    text, j, last = cores[i], i, i
+    while len(text) < 34 and j + 1 < len(at):
+        between = after[j] if at[j + 1] == at[j] + 2 and re.match(r"^[A-Z]{4}$", after[j]) else ""
+        group = between + cores[j + 1]
+        if at[j + 1] != at[j] + 1 + bool(between) or not IBAN_GROUP.match(group):
+            break
+        text, j = text + group, j + 1
+        if iban(text):
+            last = j
+    return last
+
+
+def phone_run(i: int, at: list[int], cores: list[str]) -> int:
+    """The last node of the number in groups of digits that starts at node i, with a trunk or country code; or i."""
+    digits = lambda c: sum(x.isdigit() for x in c)
+    least = 10 if cores[i][0] == "+" else 9
+    n, j = digits(cores[i]), i
+    while n <= least and j + 1 < len(at) and at[j + 1] == at[j] + 1 and PHONE_GROUP.match(cores[j + 1]) and n + digits(cores[j + 1]) <= 14:
+        j += 1
+        n += digits(cores[j])
+    return j if n >= least and j > i else i
+
+
 def key_of(core: str) -> str | None:
     """Equal keys: the same or a similar token."""
     digits = re.sub(r"\D", "", core)
@@ -131,6 +194,7 @@ class Nodes:
         self.features: list[list[str]] = []
         self.chain: list[tuple[int, int]] = []
         self.skip: list[tuple[int, int]] = []
+        self.whole: dict[int, int] = {}  # the nodes of a grouped IBAN, and its first one
         self.open: list[tuple[bool, bool]] = []  # a clamped token or the border before, after
 
     def add(self, at: list[int], cores: list[str], before: list[str], after: list[str]) -> None:
@@ -138,8 +202,18 @@ class Nodes:
         first = len(self.features)
         group = ["only digits" in shape(c) and len(c) == 4 for c in cores]
         last: dict[str, int] = {}
+        phones: set[int] = set()
+        for i, c in enumerate(cores):
+            if IBAN_HEAD.match(c) and (end := iban_run(i, at, cores, after)) > i:
+                self.whole |= dict.fromkeys(range(first + i, first + end + 1), first + i)
+            if i not in phones and PHONE_HEAD.match(c) and (end := phone_run(i, at, cores)) > i:
+                phones |= set(range(i, end + 1))
         for i, c in enumerate(cores):
             f = [*shape(c), "bias"]
+            if first + i in self.whole:
+                f.append("iban group")
+            if i in phones:
+                f.append("phone group")
             left, right = i > 0 and at[i - 1] == at[i] - 1, i + 1 < len(at) and at[i + 1] == at[i] + 1
             for side, word in (("before ", before[i]), ("after ", after[i])):
                 kind = _CONTEXT.get(word.strip(STRIP + "()").lower())
@@ -213,14 +287,50 @@ def training_documents(n: int = 700, seed: int = 5):
             tokens += [*t[:-1], t[-1] + end]
             labels += y
         yield tokens, labels
+    # numbers of other countries: grouped IBANs and national phone numbers
+    for _ in range(n // 5):
+        tokens = [word() for _ in range(int(rng.integers(0, 3)))]
+        labels = ["O"] * len(tokens)
+        for _ in range(int(rng.integers(1, 4))):
+            form = rng.random()
+            if form < 0.25:
+                hexed = "".join(rng.choice(list("0123456789abcdef"), int(rng.integers(8, 41)))) + d(1)
+                glue = str(rng.choice(sorted(CONTEXT["secret"]))) + "="
+                t = [["AKIA" + d(1) + "".join(rng.choice(list("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"), 15))], [f"{glue}{hexed}"], [f"{glue}{word()}{d(2)}{word()}{d(1)}"], [f"{glue}{d(8)}"], [f"sk_live_{hexed * 2}"]][int(rng.integers(0, 5))]
+                name, kind, y = "SECRET", "secret", ["SECRET"]
+            elif form < 0.55:
+                country, bank = [("DE", ""), ("GB", "NWBK"), ("FR", ""), ("ES", "")][int(rng.integers(0, 4))]
+                body = bank + d(14 if bank else 20 if country != "DE" else 18)
+                check = 98 - int("".join(str(int(c, 36)) for c in f"{body}{country}00")) % 97
+                x = f"{country}{check:02d}{body}"
+                t, name, kind = [x[k : k + 4] for k in range(0, len(x), 4)], "IBAN", "iban"
+                y = [name if is_candidate(g) else "O" for g in t]
+            else:
+                area = f"0{rng.integers(1, 10)}{d(int(rng.integers(1, 3)))}"
+                t = ([area, d(int(rng.integers(6, 9)))], [f"({area})", d(7)], [f"{area}/{d(7)}"], [f"{area}-{d(7)}"], [f"+{rng.integers(20, 99)}", area[1:], d(7)], [f"0{rng.integers(1, 10)}", d(2), d(2), d(2), d(2)], [f"+{rng.integers(20, 99)}", d(2), d(4), d(4)], [f"({area}){d(7)}"])[int(rng.integers(0, 8))]
+                name, kind, y = "PHONE", "phone", ["PHONE"] * len(t)
+            if rng.random() < 0.3 and kind != "secret":
+                tokens.append(str(rng.choice(sorted(CONTEXT[kind]))))
+                labels.append("O")
+            mixed = [f"{word()}{d(int(rng.integers(1, 4)))}", f"{word()}{d(1)}{word()}", f"{word()[:2].upper()}{d(2)}", f"{word()[:1].upper()}{d(1)}", f"{d(2)}{word()}", f"{word().upper()}{d(2)}{word().upper()}{d(7)}"][int(rng.integers(0, 6))]
+            tokens += [*t, word(), d(int(rng.integers(1, 7))), word(), mixed]
+            labels += [*y, "O", "O", "O", "O"]
+        yield tokens, labels
 
 
 def nodes_of(tokens: list[str], nodes: Nodes) -> list[int]:
-    """Add a list of tokens to ``nodes``; the positions of its candidates."""
-    at = [i for i, t in enumerate(tokens) if any(c.isdigit() and c.isascii() or c == "@" for c in t)]
-    cores = [tokens[i][slice(*core_of(tokens[i]))] for i in at]
-    nodes.add(at, cores, [tokens[i - 1] if i else "" for i in at], [tokens[i + 1] if i + 1 < len(tokens) else "" for i in at])
-    return at
+    """Add a list of tokens to ``nodes``; the token of each of its nodes."""
+    owner, at, words = [], [], []
+    place = 0
+    for i, t in enumerate(tokens):
+        for k, (a, b) in enumerate(pieces(t)):
+            place += 2 if k else 1
+            owner.append(i)
+            at.append(place)
+            words.append(t[a:b])
+    some = [i for i, w in enumerate(words) if is_candidate(w)]
+    nodes.add([at[i] for i in some], [words[i] for i in some], [words[i - 1] if i else "" for i in some], [words[i + 1] if i + 1 < len(words) else "" for i in some])
+    return [owner[i] for i in some]
 
 
 @functools.cache
@@ -298,22 +408,40 @@ def entities(texts: pa.Array, weights: dict) -> list[list[tuple[str, int, int]]]
         return out
     raw = data.tobytes()
     token = lambda i: raw[starts[i] : ends[i]].decode("utf-8", "replace")
+
+    def edge(i: int, which: int) -> str:
+        t = token(i)
+        a, b = pieces(t)[which]
+        return t[a:b]
+
     nodes, spans = Nodes(), []
     for chunk in np.split(found, np.flatnonzero(doc[found][1:] != doc[found][:-1]) + 1):
         k = doc[chunk[0]]
-        cores = []
-        for i in chunk:
+        at, cores, before, after = [], [], [], []
+        shift = 0
+        for i in chunk.tolist():
             t = token(i)
-            a, b = core_of(t)
-            cores.append(t[a:b])
-            low = starts[i] + len(t[:a].encode())
-            spans.append((k, i, int(low - offsets[k]), int(low - offsets[k] + len(t[a:b].encode()))))
-        before = [token(i - 1) if i and doc[i - 1] == k else "" for i in chunk]
-        after = [token(i + 1) if i + 1 < len(doc) and doc[i + 1] == k else "" for i in chunk]
-        nodes.add(chunk.tolist(), cores, before, after)
+            places = pieces(t)
+            words = [t[a:b] for a, b in places]
+            low, done = int(starts[i] - offsets[k]), 0
+            for j, ((a, b), w) in enumerate(zip(places, words)):
+                low += len(t[done:a].encode())
+                high = low + len(w.encode())
+                if is_candidate(w):
+                    at.append(i + shift + 2 * j)
+                    cores.append(w)
+                    before.append(words[j - 1] if j else edge(i - 1, -1) if i and doc[i - 1] == k else "")
+                    after.append(words[j + 1] if j + 1 < len(words) else edge(i + 1, 0) if i + 1 < len(doc) and doc[i + 1] == k else "")
+                    spans.append((k, at[-1], low, high))
+                low, done = high, b
+            shift += 2 * (len(places) - 1)
+        nodes.add(at, cores, before, after)
     last = None
-    for (k, i, a, b), y in zip(spans, label(nodes, weights)):
-        if y and b > a:
+    for node, ((k, i, a, b), y) in enumerate(zip(spans, label(nodes, weights))):
+        if y and LABELS[y] == "IBAN" and last is not None and last[2] == y and nodes.whole.get(node, -1) == nodes.whole.get(node - 1):
+            out[k][-1] = ("IBAN", out[k][-1][1], b)
+            last = (k, i, y)
+        elif y and b > a:
             whole = LABELS[y] == "CARD" and (b - a >= 13 or out[k] and out[k][-1][2] - out[k][-1][1] >= 16)
             if last == (k, i - 1, y) and LABELS[y] in ("PHONE", "CARD") and not whole:
                 out[k][-1] = (LABELS[y], out[k][-1][1], b)
