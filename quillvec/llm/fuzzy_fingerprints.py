@@ -9,16 +9,19 @@ of more than three equal letters are shortened before fingerprints are compared.
 Two fingerprints are compared at equal block sizes (a with a, b with b, a with the other's b). They are alike when they
 share 7 letters in a row and their edit distance (insertions and deletions) leaves a similarity of ``LEAST`` out of 100;
 documents linked by alike fingerprints form a family. Candidates come from an index of all 7-letter grams, which finds
-every pair that shares one, so nothing is missed; nothing is capped.
+every pair that shares one, so no alike pair is missed; nothing is capped. Equal texts are one family in any case.
 
 Defined cases: null and empty texts have no fingerprint and no family. Fingerprints of fewer than 7 letters at both sizes
-are too short to compare: such documents have no family, not even with equal ones. Repeated rows are members of one
+say too little to compare: such documents form a family with those of the same text (by SHA-256) only. Runs are shortened
+first, so a text that is nearly all one run is grouped by its whole fingerprint, not with near copies. Repeated rows are members of one
 family. The family's name is its least doc_id (null ids only: null). An empty table gives an empty result; columns besides
 doc_id and text are not read. Texts of any length are hashed whole.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -97,7 +100,13 @@ def _fingerprint(batches):
         _, offsets = tb.byte_view(batch.column("text"))
         for i, j in tb.chunks(offsets):
             part = batch.slice(i, j - i)
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(fingerprints(part.column("text")), pa.string())], names=["doc_id", "fingerprint"])
+            prints = fingerprints(part.column("text"))
+            digests = [hashlib.sha256(part.column("text")[k].as_py().encode()).digest() if p and _is_short(p) else None for k, p in enumerate(prints)]
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(prints, pa.string()), pa.array(digests, pa.binary())], names=["doc_id", "fingerprint", "digest"])
+
+
+def _is_short(fingerprint: str) -> bool:
+    return max(map(len, fingerprint.split(":")[1:])) < GRAM
 
 
 def _run_short(letters: str) -> str:
@@ -129,7 +138,8 @@ def common(letters: np.ndarray, codes: np.ndarray) -> np.ndarray:
 
 
 def _alike_of(payload: pa.Array):
-    items = [entries(x) for x in payload.to_pylist()]
+    prints = payload.to_pylist()
+    items = [entries(x) for x in prints]
     sizes = np.array([[e[0] for e in item] for item in items])
     length = np.array([[len(e[1]) for e in item] for item in items])
     codes = np.full((len(items), 2, LETTERS), 255, np.uint8)
@@ -139,6 +149,9 @@ def _alike_of(payload: pa.Array):
 
     def alike(x: int, others: np.ndarray) -> np.ndarray:
         good = np.zeros(len(others), bool)
+        if _is_short(prints[x]):
+            # too short to compare but by equality; among texts, ``families`` holds equal ones against their digests
+            good[:] = [prints[o] == prints[x] for o in others]
         for e in range(2):
             mine = codes[x, e, : length[x, e]]
             if len(mine) < GRAM:
@@ -173,8 +186,8 @@ def _grams(batches):
 
 
 def fingerprinted(docs: DataFrame) -> DataFrame:
-    """(doc_id, fingerprint) of each row."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_fingerprint, "doc_id long, fingerprint string")
+    """(doc_id, fingerprint, digest) of each row; the text's digest where the fingerprint is too short to compare."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_fingerprint, "doc_id long, fingerprint string, digest binary")
 
 
 def families(docs: DataFrame) -> DataFrame:
@@ -183,8 +196,8 @@ def families(docs: DataFrame) -> DataFrame:
     items = prints.where("fingerprint is not null").groupBy("id").agg(F.first("fingerprint").alias("payload"))
     members = items.mapInArrow(_grams, "bucket long, id binary")
     roots = components(bucket_edges(members, items, edge_batches(_alike_of)))
-    long = F.greatest(*(F.length(F.split("fingerprint", ":")[k]) for k in (1, 2))) >= GRAM
-    joined = prints.join(roots, "id", "left").withColumn("root", F.coalesce("root", F.when(long, F.col("id"))))
+    own = F.when(F.col("fingerprint").isNotNull(), F.coalesce("digest", "id"))
+    joined = prints.join(roots, "id", "left").withColumn("root", F.coalesce("root", own))
     # what has no root stands alone, spread over the partitions by its own fingerprint
     of = joined.withColumn("alone", F.when(F.col("root").isNull(), F.xxhash64("doc_id", "fingerprint")))
     w = Window.partitionBy("root", "alone")
