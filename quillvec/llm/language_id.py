@@ -3,16 +3,17 @@
 A text is a vector of its byte 2- and 3-grams (lower case, all but letters as blanks), hashed into ``DIMENSIONS`` places,
 with logarithmic term frequencies times inverse document frequencies, scaled to length one. Document frequencies are
 counted over all documents. For each language of the column ``lang``, spherical k-means splits the vectors of a sample of
-labelled documents (``MAX_LABELLED`` in all, the same number for each language, those with the least hashes) into
-``CENTROIDS`` centroids. A document takes the language of the nearest centroid by cosine; it is rejected ("und") when it is
+labelled documents into ``CENTROIDS`` centroids. The sample is bounded for each language on its own: ``MAX_LABELLED`` over
+the number of languages, but one at least, those with the least hashes of doc_id and text; no language is ever left out. A document takes the language of the nearest centroid by cosine; it is rejected ("und") when it is
 farther from it than that centroid's radius, which lies beyond nearly all of the centroid's own training vectors. The
 cosine of a short text is small by nature: with fewer than ``FULL_TEXT`` different n-grams the least cosine shrinks with
 the square root of their number.
 
 Defined cases: a null or empty text, or one without letters, has no vector: its language is "und", its cosine 0. Rows
 with a null or empty lang are classified but not used to fit. With no labelled rows everything is "und". Ties of cosine go
-to the first language by name. Repeated rows are classified alike; an empty table gives an empty result. ``classify``
-reads doc_id, text and lang only, whatever other columns there are; texts of any length are read whole.
+to the first language by name. Repeated rows are classified alike and count once in the sample, as rows do that lack a
+doc_id and have one text; an empty table gives an empty result. doc_id may be of any type. ``classify`` reads doc_id, text
+and lang only, whatever other columns there are; texts of any length are read whole.
 """
 
 from __future__ import annotations
@@ -25,11 +26,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quillvec.llm import textbytes as tb
+from quillvec.llm.columns import kind, plain
 
 DIMENSIONS, CENTROIDS, MAX_LABELLED, ROUNDS = 4096, 3, 1200, 12
 #: The radius leaves out this share of a centroid's training vectors, times a slack for texts shorter than those.
 RADIUS_SHARE, RADIUS_SLACK = 0.002, 0.5
-CHUNK_DOCS, UNKNOWN, FULL_TEXT = 256, "und", 150
+CHUNK_DOCS, UNKNOWN, FULL_TEXT, SPREAD = 256, "und", 150, 256
 
 LETTERS = np.full(256, 32, np.uint8)
 for _lo, _hi in ((65, 90), (97, 122), (128, 255)):
@@ -90,24 +92,31 @@ def vectors(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
 
 
 def sample(docs: DataFrame, most: int = MAX_LABELLED) -> list[tuple[str, np.ndarray]]:
-    """(language, term counts) of the labelled sample, in a fixed order."""
-    named = docs.select("doc_id", "lang", "text").where("lang is not null and lang <> '' and text is not null")
-    langs = named.select("lang").distinct().count()
+    """(language, term counts) of the labelled sample, in a fixed order: for each language its own share of ``most``, at least one.
+
+    A row is chosen by the hash of its doc_id and text. The least hashes are found in two steps, first within ``SPREAD``
+    parts of a language, so that no task sees more than a part of a language that holds most rows.
+    """
+    named = docs.select("lang", "text", F.xxhash64(F.lit(5), "doc_id", "text").alias("key")).where("lang is not null and lang <> '' and text is not null")
+    langs = named.agg(F.count_distinct("lang")).first()[0]
     if not langs:
         return []
-    w = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", F.lit(5)), "doc_id")
-    chosen = named.select("doc_id", "lang").withColumn("n", F.row_number().over(w)).where(F.col("n") <= max(1, most // langs)).select(F.col("doc_id").alias("id_"), F.col("lang").alias("lang_")).distinct()
-    # at most ``most`` rows of two short columns, whatever the size of the table
-    texts = named.join(F.broadcast(chosen), (named["doc_id"].eqNullSafe(chosen["id_"])) & (named["lang"] == chosen["lang_"])).select("doc_id", "lang", "text")
+    each = max(1, most // langs)
+    by_part = Window.partitionBy("lang", "part").orderBy("key")
+    by_lang = Window.partitionBy("lang").orderBy("key")
+    few = named.select("lang", "key").withColumn("part", F.pmod("key", F.lit(SPREAD))).withColumn("n", F.row_number().over(by_part)).where(F.col("n") <= each)
+    chosen = few.withColumn("n", F.row_number().over(by_lang)).where(F.col("n") <= each).select(F.col("lang").alias("lang_"), F.col("key").alias("key_")).distinct()
+    # at most ``each`` rows of two short columns for each language, whatever the size of the table; copies of a row count once
+    texts = named.join(F.broadcast(chosen), (named["key"] == chosen["key_"]) & (named["lang"] == chosen["lang_"])).groupBy("lang", "key").agg(F.min("text").alias("text"))
 
     def counted(batches):
         for part, counts in parts(batches):
             rows = [np.flatnonzero(c).astype(np.int16) for c in counts]
-            yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), part.column("lang"), pa.array([r.tobytes() for r in rows], pa.binary()), pa.array([c[r].astype(np.uint32).tobytes() for c, r in zip(counts, rows)], pa.binary())], names=["doc_id", "lang", "places", "counts"])
+            yield pa.RecordBatch.from_arrays([part.column("lang"), part.column("key"), pa.array([r.tobytes() for r in rows], pa.binary()), pa.array([c[r].astype(np.uint32).tobytes() for c, r in zip(counts, rows)], pa.binary())], names=["lang", "key", "places", "counts"])
 
-    rows = texts.mapInArrow(counted, "doc_id long, lang string, places binary, counts binary").orderBy("lang", "doc_id", "places").limit(2 * most).collect()
+    rows = texts.mapInArrow(counted, "lang string, key long, places binary, counts binary").collect()
     out = []
-    for r in rows:
+    for r in sorted(rows, key=lambda r: (r["lang"], r["key"])):
         v = np.zeros(DIMENSIONS, np.float32)
         v[np.frombuffer(r["places"], np.int16)] = np.frombuffer(r["counts"], np.uint32)
         out.append((r["lang"], v))
@@ -161,15 +170,16 @@ def nearest(counts: np.ndarray, model: dict) -> tuple[list[str], np.ndarray]:
 
 def classify(docs: DataFrame, model: dict | None = None) -> DataFrame:
     """(doc_id, lang, predicted, cosine) of each row."""
+    docs = plain(docs, ["doc_id", "lang", "text"]).select("doc_id", F.col("lang").cast("string").alias("lang"), "text")
     model = fit(docs) if model is None else model
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # a fixed size: some dozen centroids a language at most
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # a few centroids for each language, whatever the size of the table
 
     def run(batches):
         for part, counts in parts(batches):
             langs, cosine = nearest(counts, shared.value)
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("lang"), pa.array(langs, pa.string()), pa.array(cosine)], names=["doc_id", "lang", "predicted", "cosine"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text").mapInArrow(run, "doc_id long, lang string, predicted string, cosine double")
+    return docs.mapInArrow(run, f"doc_id {kind(docs, 'doc_id')}, lang string, predicted string, cosine double")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 Tokens are runs of non-blank characters, cut further at marks such as ``: , ; = " ' < > ( ) { } | [ ]`` (and ``/ & ? #``
 where the run holds "@" or "://"), so that each address or number glued to other text is a token of its own; the marks of amounts,
-times, ports, area codes and a URL's user are not cut at. A cut parts tokens as a word between them would. A token without a digit and without "@" can't be personal data here: its label is
+times, ports, area codes, IPv6 addresses and a URL's user are not cut at. A cut parts tokens as a word between them would. A token without a digit and without "@" can't be personal data here: its label is
 clamped to "O". The others are nodes with a label each (O, EMAIL, PHONE, CARD, IP, SSN, IBAN, SECRET: a key of a known form or a word glued to "password="). Unary potentials come from
 the token's shape, checksums and neighbouring words; chain potentials join nodes that stand next to each other (a clamped
 neighbour contributes its "O"); skip potentials join each token to the next one in the document that repeats it or has
@@ -14,13 +14,15 @@ Neighbouring tokens with the same label form an entity (so do the groups of one
 bank's letters among them), and ``[LABEL]`` replaces it in the text.
 
 Defined cases: null and empty texts have no entities and are returned as they are. Repeated rows give equal results, and
-ties of belief go to the first label, "O" before others. An empty table gives an empty result. ``redact`` keeps the
-columns of its input whatever their names. Texts of any length are read whole.
+ties of belief go to the first label, "O" before others. An empty table gives an empty result; doc_id may be of any type.
+``redact`` keeps the columns of its input whatever their names. Texts of any length are read whole, in time proportional to
+their length; a piece of more than ``LONGEST`` characters, longer than any address may be, has no features but its length.
 """
 
 from __future__ import annotations
 
 import functools
+import ipaddress
 import re
 
 import numpy as np
@@ -29,9 +31,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillvec.llm import textbytes as tb
+from quillvec.llm.columns import kind, plain, restored
 
 LABELS = ["O", "EMAIL", "PHONE", "CARD", "IP", "SSN", "IBAN", "SECRET"]
-K, ROUNDS, DAMPING = len(LABELS), 12, 0.3
+K, ROUNDS, DAMPING, LONGEST = len(LABELS), 12, 0.3, 320
 BLANKS = np.ones(256, bool)
 BLANKS[[9, 10, 11, 12, 13, 28, 29, 30, 31, 32]] = False
 EVIDENCE = np.zeros(256, bool)
@@ -41,6 +44,8 @@ STRIP = ".,;:!?\"'`<>[]{}#$%&*|=~_/\\^"
 SEPARATOR = re.compile(r"[:,;=\"'<>(){}|\[\]\\`]")
 WITH_SLASH = re.compile(SEPARATOR.pattern[:-1] + "&?/#]")
 KEPT = re.compile(r"\(\d{2,4}\)(?=[\d.\-/]|$)|(?<![\d.,])\d{1,3}(?:,\d{3})+(?![\d\-])|(?<![\d:])\d\d?:\d\d(?::\d\d)?(?![\d:])|(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?::\d{1,5}|/\d\d?)(?![\d.])|(?<=://)[^/\s@]+@")
+IP6 = re.compile(r"(?<![\w:.])(?:[0-9A-Fa-f]{0,4}:){2,7}(?:(?:\d{1,3}\.){3}\d{1,3}|[0-9A-Fa-f]{0,4})(?:/\d{1,3})?(?![\w:])")
+CARD_GROUPS = {(4, 4, 4, 4), (4, 6, 5), (4, 4, 4, 4, 3), (4, 4, 5)}
 IBAN_HEAD, IBAN_GROUP = re.compile(r"^[A-Z]{2}\d{2}$"), re.compile(r"^[A-Z0-9]{1,8}$")
 PHONE_HEAD, PHONE_GROUP = re.compile(r"^(?:\+\d{1,3}|\(0\d{1,4}\)|0\d{1,4})$"), re.compile(r"^(?:\d{1,8}|\(\d{1,4}\))$")
 EMAIL = re.compile(r"(?i)^(?:mailto:)?[\w.+\-%]+@[a-z0-9\-]+(?:\.[a-z0-9\-]+)*\.[a-z]{2,}$")
@@ -54,7 +59,8 @@ CONTEXT = {
     "iban": {"iban", "account", "konto", "cuenta", "compte", "bank"},
     "secret": {"password", "passwd", "pwd", "passphrase", "secret"},
     "version": {"version", "v", "release", "ver", "chapter", "section", "fig", "page", "kapitel"},
-    "amount": {"order", "id", "no", "nr", "number", "item", "invoice", "total", "price", "usd", "eur", "$", "€", "year", "in", "count", "ref", "isbn"},
+    "amount": {"order", "id", "nr", "number", "item", "invoice", "total", "price", "usd", "eur", "$", "€", "count", "ref", "isbn", "rechnung", "factura", "facture", "tracking", "serial"},
+    "time": {"year", "in", "since", "until", "no", "of"},
 }
 _CONTEXT = {w: c for c, ws in CONTEXT.items() for w in ws}
 
@@ -70,9 +76,26 @@ def iban(core: str) -> bool:
     return int("".join(str(int(c, 36)) for c in core[4:] + core[:4])) % 97 == 1
 
 
-@functools.lru_cache(1 << 16)
+def ip6(core: str) -> bool:
+    if core.count(":") < 2 or not IP6.fullmatch(core):
+        return False
+    try:
+        return ipaddress.ip_network(core, False).version == 6
+    except ValueError:
+        return False
+
+
+def remembered(f):
+    """``f`` of a token, remembered if the token isn't long."""
+    kept = functools.lru_cache(1 << 16)(f)
+    return functools.wraps(f)(lambda token: kept(token) if len(token) <= 64 else f(token))
+
+
+@remembered
 def shape(core: str) -> tuple[str, ...]:
     """Features of a token, punctuation around it removed."""
+    if len(core) > LONGEST:
+        return ("too long",)
     digits = re.sub(r"\D", "", core)
     n, letters = len(digits), any(c.isalpha() for c in core)
     f = ["digits=" + ("0" if not n else "1-2" if n < 3 else "3" if n == 3 else "4" if n == 4 else "5-6" if n < 7 else "7" if n == 7 else "8-9" if n < 10 else "10-12" if n < 13 else "13-19" if n < 20 else "20+")]
@@ -80,7 +103,9 @@ def shape(core: str) -> tuple[str, ...]:
     if "@" in core:
         f.append("email" if EMAIL.match(core) else "at")
     m = IP4.match(core)
-    if m:
+    if ip6(core):
+        f.append("ip six")
+    elif m:
         f.append("ip" if all(int(x) < 256 for x in m.groups()[:4]) else "four numbers")
     elif re.match(r"^v?\d+(\.\d+)+\w*$", core):
         f.append("dotted")
@@ -88,6 +113,8 @@ def shape(core: str) -> tuple[str, ...]:
         f.append("only digits")
     if 13 <= n <= 19 and re.match(r"^\d+(?:[ \-]\d+)*$", core):
         f += ["card length", "luhn" if luhn(digits) else "no luhn", "card start" if core[0] in "23456" else "other start"]
+    if re.match(r"^97[89]-?\d{1,5}-?\d{1,7}-?\d{1,6}-?\d$", core) and n == 13:
+        f.append("isbn")
     if re.match(r"^\+\d{1,3}$", core):
         f.append("country code")
     if re.match(r"^\+\d[\d\-.()]{6,}$", core):
@@ -122,14 +149,16 @@ def shape(core: str) -> tuple[str, ...]:
 def core_of(token: str) -> tuple[int, int]:
     """The part of a token that may be an entity, without the marks around it."""
     a, b = 0, len(token)
-    while a < b and (token[a] in STRIP or (token[a] in "()-" and not re.match(r"\(\d", token[a:b]))):
+    while a < b and (token[a] == ":" and token[a + 1 : a + 2] == ":" and IP6.match(token, a) is None or token[a] in STRIP and token[a : a + 2] != "::" or token[a] in "()-" and not (token[a] == "(" and token[a + 1 : a + 2].isdigit())):
         a += 1
-    while b > a and (token[b - 1] in STRIP or token[b - 1] in "+-" or (token[b - 1] == "(") or (token[b - 1] == ")" and "(" not in token[a:b])):
+    opened = token.rfind("(", a, b)
+    while b > a and (token[b - 1] in STRIP and not (token[b - 2 : b] == "::" and IP6.search(token[max(a, b - 48) : b])) or token[b - 1] in "+-" or (token[b - 1] == "(") or (token[b - 1] == ")" and opened < 0)):
         b -= 1
+        opened = opened if opened < b else token.rfind("(", a, b)
     return a, b
 
 
-@functools.lru_cache(1 << 16)
+@remembered
 def pieces(token: str) -> tuple[tuple[int, int], ...]:
     """The places of the parts of a token that stand for themselves, without the marks around them; at least one."""
     a, b = core_of(token)
@@ -138,6 +167,8 @@ def pieces(token: str) -> tuple[tuple[int, int], ...]:
     if not marks.search(core):
         return ((a, b),)
     kept = {k for m in KEPT.finditer(core) for k in range(*m.span())}
+    if core.count(":") > 1:
+        kept |= {k for m in IP6.finditer(core) if ip6(m.group()) for k in range(*m.span())}
     cuts = [(m.start(), m.end()) for m in marks.finditer(core) if m.start() not in kept]
     # an area code is cut off from a word before it
     cuts += [(k, k) for k in kept if core[k] == "(" and k and core[k - 1].isalpha()]
@@ -187,6 +218,23 @@ def key_of(core: str) -> str | None:
     return core.lower() if len(core) >= 4 else None
 
 
+def card_run(i: int, at: list[int], cores: list[str]) -> int:
+    """The last node of a card number in groups, by its check digit, that starts at node i; or i."""
+    sizes, text, last = (), "", i
+    for j in range(i, min(i + 5, len(cores))):
+        if j > i and at[j] != at[j - 1] + 1 or not cores[j].isdigit() or len(cores[j]) > 6:
+            break
+        sizes, text = (*sizes, len(cores[j])), text + cores[j]
+        if sizes in CARD_GROUPS and text[0] in "3456" and luhn(text):
+            last = j
+    return last
+
+
+def ten_run(i: int, at: list[int], cores: list[str]) -> bool:
+    """Whether a ten-digit number in groups of three, three and four starts at node i."""
+    return i + 2 < len(cores) and at[i + 2] == at[i] + 2 and [len(c) for c in cores[i : i + 3]] == [3, 3, 4] and all(c.isdigit() for c in cores[i : i + 3])
+
+
 class Nodes:
     """The nodes of some documents: their features and edges."""
 
@@ -203,17 +251,28 @@ class Nodes:
         group = ["only digits" in shape(c) and len(c) == 4 for c in cores]
         last: dict[str, int] = {}
         phones: set[int] = set()
+        cards: set[int] = set()
+        tens: dict[int, int] = {}
         for i, c in enumerate(cores):
             if IBAN_HEAD.match(c) and (end := iban_run(i, at, cores, after)) > i:
                 self.whole |= dict.fromkeys(range(first + i, first + end + 1), first + i)
             if i not in phones and PHONE_HEAD.match(c) and (end := phone_run(i, at, cores)) > i:
                 phones |= set(range(i, end + 1))
+            if i not in cards and len(c) == 4 and (end := card_run(i, at, cores)) > i:
+                cards |= set(range(i, end + 1))
+            if i not in tens and len(c) == 3 and ten_run(i, at, cores):
+                tens |= dict.fromkeys(range(i, i + 3), i)
         for i, c in enumerate(cores):
             f = [*shape(c), "bias"]
             if first + i in self.whole:
                 f.append("iban group")
             if i in phones:
                 f.append("phone group")
+            if i in cards:
+                f.append("card group")
+            if i in tens:
+                # the word before the first group speaks for all three
+                f.append("ten group " + str(_CONTEXT.get(before[tens[i]].strip(STRIP + "()").lower())))
             left, right = i > 0 and at[i - 1] == at[i] - 1, i + 1 < len(at) and at[i + 1] == at[i] + 1
             for side, word in (("before ", before[i]), ("after ", after[i])):
                 kind = _CONTEXT.get(word.strip(STRIP + "()").lower())
@@ -259,7 +318,7 @@ def training_documents(n: int = 700, seed: int = 5):
             t = ([f"+{d(1)}", f"({d(3)})", f"{d(3)}-{d(4)}"], [f"({d(3)})", f"{d(3)}-{d(4)}"], [f"{d(3)}-{d(3)}-{d(4)}"], [f"+{d(2)}{d(9)}"], [f"+{d(1)}-{d(3)}-{d(3)}-{d(4)}"], [f"{d(3)}.{d(3)}.{d(4)}"])[form]
             return (t, ["PHONE"] * len(t), "phone")
         if kind < 11:
-            x = rng.choice(list("23456")) + d(15)
+            x = (rng.choice(list("23456")) if rng.random() < 0.5 else d(1)) + d(15)
             t = ([x], [x], [x[:4], x[4:8], x[8:12], x[12:]], ["-".join((x[:4], x[4:8], x[8:12], x[12:]))])[int(rng.integers(0, 4))]
             return (t, ["CARD"] * len(t), "card")
         if kind < 14:
@@ -270,9 +329,9 @@ def training_documents(n: int = 700, seed: int = 5):
             body = d(18)
             check = 98 - int(body + "131400") % 97
             return ([f"DE{check:02d}{body}"], ["IBAN"], "iban")
-        none = int(rng.integers(0, 14))
-        t = (d(1), d(2), str(rng.integers(1900, 2040)), d(5), d(6), f"{rng.integers(1, 9)}.{rng.integers(0, 30)}", f"{rng.integers(0, 9)}.{rng.integers(0, 30)}.{rng.integers(0, 30)}", f"20{d(2)}-0{rng.integers(1, 9)}-1{d(1)}", f"{rng.integers(10, 23)}:{rng.integers(10, 59)}", f"${d(2)},{d(3)}.{d(2)}", f"{d(2)}%", "".join(rng.choice(list("0123456789abcdef"), 40)), d(8), "@" + word())[none]
-        return ([t], ["O"], "version" if none in (5, 6) else "amount")
+        none = int(rng.integers(0, 18))
+        t = (d(1), d(2), str(rng.integers(1900, 2040)), d(5), d(6), f"{rng.integers(1, 9)}.{rng.integers(0, 30)}", f"{rng.integers(0, 9)}.{rng.integers(0, 30)}.{rng.integers(0, 30)}", f"20{d(2)}-0{rng.integers(1, 9)}-1{d(1)}", f"{rng.integers(10, 23)}:{rng.integers(10, 59)}", f"${d(2)},{d(3)}.{d(2)}", f"{d(2)}%", "".join(rng.choice(list("0123456789abcdef"), 40)), d(8), "@" + word(), f"97{rng.integers(8, 10)}-{d(1)}-{d(2)}-{d(6)}-{d(1)}", d(int(rng.integers(13, 20))), d(16), ".".join(d(1) for _ in range(4)))[none]
+        return ([t], ["O"], "version" if none in (5, 6) else "sure version" if none == 17 else "sure amount" if none > 14 else "amount")
 
     for _ in range(n):
         tokens, labels, pool = [], [], [entity() for _ in range(int(rng.integers(1, 5)))]
@@ -280,8 +339,9 @@ def training_documents(n: int = 700, seed: int = 5):
             tokens += [word() for _ in range(int(rng.integers(0, 4)))]
             t, y, kind = pool[int(rng.integers(0, len(pool)))] if rng.random() < 0.5 else entity()
             labels += ["O"] * (len(tokens) - len(labels))
-            if rng.random() < 0.3:
-                tokens.append(str(rng.choice(sorted(CONTEXT[kind]))))
+            # a long number that is no card says so by the word before it
+            if rng.random() < 0.3 or kind.startswith("sure"):
+                tokens.append(str(rng.choice(sorted(CONTEXT[kind.removeprefix("sure ")]))))
                 labels.append("O")
             end = str(rng.choice(["", "", ".", ",", "!!", "###"]))
             tokens += [*t[:-1], t[-1] + end]
@@ -318,6 +378,43 @@ def training_documents(n: int = 700, seed: int = 5):
         yield tokens, labels
 
 
+    # addresses of the sixth version, card numbers with check digits, groups of three, three and four, and what looks like them
+    for _ in range(n // 4):
+        tokens, labels = [word() for _ in range(int(rng.integers(0, 3)))], []
+        labels = ["O"] * len(tokens)
+        for _ in range(int(rng.integers(1, 4))):
+            form = int(rng.integers(0, 6))
+            h = lambda: f"{int(rng.integers(0, 65536)):x}"
+            if form == 0:
+                k = int(rng.integers(1, 6))
+                t = [[":".join(h() for _ in range(8))], [":".join(h() for _ in range(k)) + "::" + ":".join(h() for _ in range(6 - k))], [f"fe80::{h()}"], ["::1"], [f"2001:db8::{h()}/64"], [f"::ffff:10.{d(1)}.{d(2)}.{d(1)}"]][int(rng.integers(0, 6))]
+                kind, y = "ip", ["IP" if ip6(t[0]) else "O"]
+            elif form == 1:
+                sizes = [(4, 4, 4, 4), (4, 6, 5), (16,), (15,), (4, 4, 4, 4)][int(rng.integers(0, 5))]
+                x = str(rng.choice(["34", "37"] if sum(sizes) == 15 else ["4", "51", "55", "60", "22"]))
+                x += d(sum(sizes) - 1 - len(x))
+                x += next(c for c in "0123456789" if luhn(x + c))
+                t = [x[sum(sizes[:j]) : sum(sizes[: j + 1])] for j in range(len(sizes))]
+                kind, y = "card", ["CARD"] * len(t)
+            elif form == 2:
+                t, kind, y = [d(3), d(3), d(4)], "phone", ["PHONE"] * 3
+            elif form == 3:
+                # counts and tables
+                t, kind = [[d(3), d(3), d(4)], [d(2), d(3), d(3)], [d(1), d(3), d(3)], [d(2), d(2), d(2), d(2)], [d(3), d(3)]][int(rng.integers(0, 5))], "amount"
+                y = ["O"] * len(t)
+            elif form == 4:
+                t, kind, y = [":".join(f"{int(rng.integers(0, 256)):02x}" for _ in range(6))], "amount", ["O"]
+            else:
+                t, kind = [d(int(rng.integers(14, 17)))], "amount"
+                y = ["O"]
+            if rng.random() < 0.5 or form in (3, 5):
+                tokens.append(str(rng.choice(sorted(CONTEXT[kind]))))
+                labels.append("O")
+            tokens += [*t, word(), d(int(rng.integers(1, 5))), word()]
+            labels += [*y, "O", "O", "O"]
+        yield tokens, labels
+
+
 def nodes_of(tokens: list[str], nodes: Nodes) -> list[int]:
     """Add a list of tokens to ``nodes``; the token of each of its nodes."""
     owner, at, words = [], [], []
@@ -368,33 +465,52 @@ def model() -> dict:
     return {"names": names, "unary": u, "chain": t, "skip": s}
 
 
-def label(nodes: Nodes, weights: dict) -> np.ndarray:
-    """The label with the greatest belief of each node, by loopy belief propagation over all documents at once."""
+def potentials(nodes: Nodes, weights: dict) -> np.ndarray:
+    """The unary log-potentials [nodes, labels], those of clamped neighbours included."""
     n = len(nodes.features)
     names, table = weights["names"], weights["unary"]
-    flat = [(i, names[f]) for i, fs in enumerate(nodes.features) for f in fs if f in names]
-    unary = np.zeros((n, K))
-    np.add.at(unary, [i for i, _ in flat], table[[f for _, f in flat]])
+    which = np.fromiter((names[f] for fs in nodes.features for f in fs if f in names), np.int64)
+    owner = np.repeat(np.arange(n), [sum(f in names for f in fs) for fs in nodes.features])
+    unary = received(owner, table[which], n) if len(which) else np.zeros((n, K))
     ends = np.array(nodes.open).reshape(-1, 2)
-    unary += ends[:, :1] * weights["chain"][0] + ends[:, 1:] * weights["chain"][:, 0]
+    return unary + ends[:, :1] * weights["chain"][0] + ends[:, 1:] * weights["chain"][:, 0]
+
+
+def label(nodes: Nodes, weights: dict) -> np.ndarray:
+    """The label with the greatest belief of each node."""
+    return beliefs(nodes, weights).round(9).argmax(1)
+
+
+def beliefs(nodes: Nodes, weights: dict) -> np.ndarray:
+    """The log-beliefs [nodes, labels], by loopy belief propagation over all documents at once; exact where the edges form no loop."""
+    unary = potentials(nodes, weights)
     edges = nodes.chain + nodes.skip
-    if edges:
-        e = np.array(edges)
-        pair = np.concatenate((np.repeat(weights["chain"][None], len(nodes.chain), 0), np.repeat(weights["skip"][None], len(nodes.skip), 0)))
-        source, target = np.concatenate((e[:, 0], e[:, 1])), np.concatenate((e[:, 1], e[:, 0]))
-        pair = np.concatenate((pair, pair.transpose(0, 2, 1)))
-        back = np.concatenate((np.arange(len(e)) + len(e), np.arange(len(e))))
-        message = np.zeros((len(source), K))
-        for _ in range(ROUNDS):
-            belief = unary.copy()
-            np.add.at(belief, target, message)
-            out = (belief[source] - message[back])[:, :, None] + pair
-            top = out.max(1)
-            new = top + np.log(np.exp(out - top[:, None]).sum(1))
-            new -= new.max(1, keepdims=True)
-            message = DAMPING * message + (1 - DAMPING) * new
-        np.add.at(unary, target, message)
-    return unary.round(9).argmax(1)
+    if not edges:
+        return unary
+    e = np.array(edges)
+    n, chain = len(e), len(nodes.chain)
+    source, target = np.concatenate((e[:, 0], e[:, 1])), np.concatenate((e[:, 1], e[:, 0]))
+    back = np.concatenate((np.arange(n) + n, np.arange(n)))
+    # messages along the chain, along the skips, and back along either: the factor that each is multiplied with
+    kinds = [(0, chain, weights["chain"]), (chain, n, weights["skip"]), (n, n + chain, weights["chain"].T), (n + chain, 2 * n, weights["skip"])]
+    factors = [(a, b, np.exp(w)) for a, b, w in kinds if b > a]
+    message = np.zeros((2 * n, K))
+    for _ in range(ROUNDS):
+        belief = unary + received(target, message, len(unary))
+        out = belief[source] - message[back]
+        out -= out.max(1, keepdims=True)
+        np.exp(out, out)
+        new = np.empty_like(message)
+        for a, b, factor in factors:
+            np.log(out[a:b] @ factor, new[a:b])
+        new -= new.max(1, keepdims=True)
+        message = DAMPING * message + (1 - DAMPING) * new
+    return unary + received(target, message, len(unary))
+
+
+def received(target: np.ndarray, message: np.ndarray, n: int) -> np.ndarray:
+    """The sum of the messages to each of n nodes."""
+    return np.stack([np.bincount(target, message[:, k], n) for k in range(K)], 1)
 
 
 def entities(texts: pa.Array, weights: dict) -> list[list[tuple[str, int, int]]]:
@@ -466,6 +582,7 @@ KIND = "array<struct<label:string,start:int,end:int>>"
 
 def detect(docs: DataFrame) -> DataFrame:
     """(doc_id, text, n_entities, entities) of each row: the text redacted; places count characters of the original."""
+    docs = plain(docs, ["doc_id", "text"]).select("doc_id", "text")
     shared = docs.sparkSession.sparkContext.broadcast(model())
 
     def run(batches):
@@ -479,16 +596,17 @@ def detect(docs: DataFrame) -> DataFrame:
                 for k, f in enumerate(found):
                     if f:
                         raw = texts[k].encode()
-                        ascii_only = len(raw) == len(texts[k])
-                        char = (lambda p: p) if ascii_only else (lambda p, raw=raw: len(raw[:p].decode("utf-8", "replace")))
+                        # characters before each byte: one that doesn't continue a character begins one
+                        before = None if len(raw) == len(texts[k]) else np.concatenate(([0], np.cumsum((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80)))
+                        char = (lambda p: p) if before is None else (lambda p, before=before: int(before[p]))
                         rows.append([{"label": name, "start": char(a), "end": char(b)} for name, a, b in f])
                         texts[k] = _redacted(raw, f)
                     else:
                         rows.append([])
-                kind = pa.list_(pa.struct([("label", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(texts, pa.string()), pa.array([len(r) for r in rows], pa.int32()), pa.array(rows, kind)], names=["doc_id", "text", "n_entities", "entities"])
+                kind_ = pa.list_(pa.struct([("label", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(texts, pa.string()), pa.array([len(r) for r in rows], pa.int32()), pa.array(rows, kind_)], names=["doc_id", "text", "n_entities", "entities"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, f"doc_id long, text string, n_entities int, entities {KIND}")
+    return docs.mapInArrow(run, f"doc_id {kind(docs, 'doc_id')}, text string, n_entities int, entities {KIND}")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
@@ -504,9 +622,9 @@ def redact(docs: DataFrame) -> DataFrame:
         found = entities(pa.array(texts, pa.string()), shared.value)
         return texts.where([not f for f in found], [_redacted(t.encode(), f) if f else t for t, f in zip(texts, found)])
 
-    tag = "__clean" + "_" * max(map(len, docs.columns))
-    out = docs.withColumn(tag, clean("text"))
-    changes = {"text": F.col(tag)}
-    if "n_chars" in docs.columns:
-        changes["n_chars"] = F.when(F.col(tag).eqNullSafe(docs["text"]), F.col("n_chars")).otherwise(F.length(tag).cast(docs.schema["n_chars"].dataType))
-    return out.withColumns(changes).select(docs.columns)
+    inner = plain(docs, ["text"], ["n_chars"])
+    out = inner.withColumn("clean", clean("text"))
+    changes = {"text": F.col("clean")}
+    if "n_chars" in inner.columns:
+        changes["n_chars"] = F.when(F.col("clean").eqNullSafe(F.col("text")), F.col("n_chars")).otherwise(F.length("clean").cast(inner.schema["n_chars"].dataType))
+    return restored(out.withColumns(changes), inner, docs)

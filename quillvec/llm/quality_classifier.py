@@ -9,8 +9,10 @@ with the least hashes of doc_id, are used to fit, which bounds what the driver r
 Defined cases: statistics that don't exist (no words, no letters) count as -1, so that null and empty texts are scored
 like other texts without words. Labels that are null, that contradict each other for one doc_id, or that belong to no
 document are not used. With no labels, only one class, or too few rows for a split (20), no rule can be fitted: every
-document gets the share of good labels (one half with no labels) as its score. Repeated rows are scored alike. ``scored`` keeps the columns of its input
-in a struct, whatever their names; an empty table gives an empty result; texts of any length are measured whole.
+document gets the share of good labels (one half with no labels) as its score. Repeated rows are scored alike and count once
+in the sample. ``scored`` keeps the columns of its input whatever their names; where one of them has the name of an added
+column, the added one gets underscores behind its name. An empty table gives an empty result; texts of any length are measured
+whole.
 """
 
 from __future__ import annotations
@@ -19,6 +21,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillvec.llm.columns import plain, with_added
 from quillvec.llm.quality_rules import measured
 
 MAX_LABELLED, TREES, DEPTH, SHRINK, L1, KEEP_AT = 4000, 40, 3, 0.3, 0.004, 0.5
@@ -26,9 +29,9 @@ FEATURES = ["n_words", "mean_word_chars", "symbol_share", "upper_share", "letter
 Rule = tuple[tuple[int, bool, float], ...]
 
 
-def features(docs: DataFrame) -> DataFrame:
-    m = measured(docs)
-    return m.select("doc", *(F.coalesce(F.col(f).cast("double"), F.lit(-1.0)).alias(f) for f in FEATURES))
+def features(docs: DataFrame, *kept: str) -> DataFrame:
+    """The columns ``kept`` and the statistics, -1 where undefined."""
+    return measured(docs, *kept).select(*kept, *(F.coalesce(F.col(f).cast("double"), F.lit(-1.0)).alias(f) for f in FEATURES))
 
 
 def _tree(x: np.ndarray, residual: np.ndarray, rows: np.ndarray, path: Rule, rules: list[Rule], out: np.ndarray) -> None:
@@ -126,22 +129,29 @@ def compiled(intercept: float, rules: list[tuple[Rule, float]]) -> Column:
 
 
 def labelled(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -> tuple[np.ndarray, np.ndarray]:
-    """(statistics, classes) of a bounded sample of labelled documents."""
+    """(statistics, classes) of a bounded sample of labelled documents, one row for each doc_id.
+
+    Where a doc_id has several texts, the one with the least hash is taken, so that the sample never has more rows than ids.
+    """
     clean = labels.select(F.col("doc_id").alias("label_id"), "quality").where("label_id is not null and quality in (0, 1)")
     clean = clean.groupBy("label_id").agg(F.min("quality").alias("quality"), F.max("quality").alias("most")).where("quality = most").drop("most")
-    chosen = clean.orderBy(F.xxhash64("label_id"), "label_id").limit(most)
+    # ids that have a document: labels without one don't use up the sample
+    there = clean.join(docs.select(F.col("doc_id").alias("label_id")), "label_id", "left_semi")
+    chosen = there.orderBy(F.xxhash64("label_id"), "label_id").limit(most)
     # at most ``most`` rows of two numbers, whatever the size of the tables
-    both = docs.join(F.broadcast(chosen), docs["doc_id"] == chosen["label_id"]).select(docs["doc_id"].alias("doc_id"), docs["text"].alias("text"), "quality")
-    rows = features(both).select("doc.doc_id", "doc.quality", *FEATURES).dropDuplicates().orderBy("doc_id", *FEATURES).limit(2 * most).toPandas()
+    both = docs.join(F.broadcast(chosen), docs["doc_id"] == chosen["label_id"]).groupBy("label_id", "quality").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    rows = features(both, "label_id", "quality").toPandas().sort_values("label_id", kind="stable")
     return rows[FEATURES].to_numpy(float), rows["quality"].to_numpy(float)
 
 
 def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``doc`` (a struct of the input's columns), the statistics, score and keep."""
-    intercept, rules = fit(*labelled(docs, labels))
-    return features(docs).withColumn("score", compiled(intercept, rules)).withColumn("keep", F.col("score") >= KEEP_AT)
+    """``docs`` with the statistics, score and keep."""
+    inner = plain(docs, ["doc_id", "text"])
+    intercept, rules = fit(*labelled(inner.select("doc_id", "text"), labels))
+    out = features(inner, *inner.columns).withColumn("score", compiled(intercept, rules))
+    return with_added(out, inner, docs, **{f: F.col(f) for f in FEATURES}, score=F.col("score"), keep=F.col("score") >= KEEP_AT)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return scored(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")).select("doc.doc_id", "score", "keep")
+    return scored(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")).select("doc_id", "score", "keep")
