@@ -26,10 +26,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from quillvec.llm import textbytes as tb
-from quillvec.llm.components import bucket_edges, components, edge_batches
+from quillvec.llm.columns import kind, plain
+from quillvec.llm.components import bucket_edges, components
 from quillvec.session import cut_lineage
 
 WINDOW, LETTERS, GRAM, LEAST, SMALLEST = 7, 64, 7, 60.0, 3
@@ -146,6 +146,11 @@ def _alike_of(payload: pa.Array):
     for k, item in enumerate(items):
         for e in range(2):
             codes[k, e, : length[k, e]] = np.frombuffer(item[e][1].encode(), np.uint8)
+    # how often each letter occurs: what two strings have in common can't be more than the lesser counts
+    counts = np.zeros((len(items), 2, 256), np.uint8)
+    for e in range(2):
+        np.add.at(counts[:, e], (np.arange(len(items))[:, None], codes[:, e]), 1)
+    counts = np.ascontiguousarray(counts[:, :, np.sort(ALPHABET)])
 
     def alike(x: int, others: np.ndarray) -> np.ndarray:
         good = np.zeros(len(others), bool)
@@ -161,6 +166,10 @@ def _alike_of(payload: pa.Array):
                 if not len(ok):
                     continue
                 both = length[x, e] + length[others[ok], f]
+                may = 200.0 * np.minimum(counts[x, e], counts[others[ok], f]).sum(1, dtype=np.int64) >= LEAST * both
+                ok, both = ok[may], both[may]
+                if not len(ok):
+                    continue
                 high = ok[200.0 * common(mine, codes[others[ok], f]) >= LEAST * both]
                 grams = {mine[i : i + GRAM].tobytes() for i in range(len(mine) - GRAM + 1)}
                 for h in high:
@@ -187,23 +196,20 @@ def _grams(batches):
 
 def fingerprinted(docs: DataFrame) -> DataFrame:
     """(doc_id, fingerprint, digest) of each row; the text's digest where the fingerprint is too short to compare."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_fingerprint, "doc_id long, fingerprint string, digest binary")
+    docs = plain(docs, ["doc_id", "text"]).select("doc_id", "text")
+    return docs.mapInArrow(_fingerprint, f"doc_id {kind(docs, 'doc_id')}, fingerprint string, digest binary")
 
 
 def families(docs: DataFrame) -> DataFrame:
     """(doc_id, fingerprint, family, family_size): family is null for a document that is like no other."""
     prints = cut_lineage(fingerprinted(docs).withColumn("id", F.unhex(F.md5("fingerprint"))))
     items = prints.where("fingerprint is not null").groupBy("id").agg(F.first("fingerprint").alias("payload"))
-    members = items.mapInArrow(_grams, "bucket long, id binary")
-    roots = components(bucket_edges(members, items, edge_batches(_alike_of)))
+    roots = components(bucket_edges(items, lambda some: some.select("id", "payload").mapInArrow(_grams, "bucket long, id binary"), _alike_of))
     own = F.when(F.col("fingerprint").isNotNull(), F.coalesce("digest", "id"))
-    joined = prints.join(roots, "id", "left").withColumn("root", F.coalesce("root", own))
-    # what has no root stands alone, spread over the partitions by its own fingerprint
-    of = joined.withColumn("alone", F.when(F.col("root").isNull(), F.xxhash64("doc_id", "fingerprint")))
-    w = Window.partitionBy("root", "alone")
-    sized = of.withColumn("n", F.count("*").over(w)).withColumn("least", F.min("doc_id").over(w))
-    is_family = F.col("root").isNotNull() & (F.col("n") > 1)
-    return sized.select("doc_id", "fingerprint", F.when(is_family, F.col("least")).alias("family"), F.when(is_family, F.col("n")).otherwise(F.lit(1)).cast("long").alias("family_size"))
+    joined = cut_lineage(prints.join(roots, "id", "left").select("doc_id", "fingerprint", F.coalesce("root", own).alias("root")))
+    # families of any size: their counts and least ids are aggregates, combined before they are shuffled
+    sizes = joined.where("root is not null").groupBy("root").agg(F.count("*").alias("n"), F.min("doc_id").alias("least")).where("n > 1")
+    return joined.join(sizes, "root", "left").select("doc_id", "fingerprint", F.col("least").alias("family"), F.coalesce("n", F.lit(1)).cast("long").alias("family_size"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

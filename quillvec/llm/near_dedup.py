@@ -8,8 +8,8 @@ estimated similarity reaches the threshold form groups (connected components). E
 
 Defined cases: a text without words (null, empty, only punctuation) is never in a group, and neither is a document alone
 in having its words. Repeated rows (same id and text) are copies of each other; one row stays. A null doc_id sorts
-last when the row to keep is chosen, else the least doc_id stays. Columns besides doc_id and text are carried along
-whatever their names; an empty table gives an empty result. Texts of any length are hashed whole.
+last when the row to keep is chosen, else the least doc_id stays; doc_id may be of any type. Columns besides doc_id and text
+are carried along whatever their names; an empty table gives an empty result. Texts of any length are hashed whole.
 """
 
 from __future__ import annotations
@@ -19,10 +19,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from quillvec.llm import textbytes as tb
-from quillvec.llm.components import bucket_edges, components, edge_batches
+from quillvec.llm.columns import kind, plain, restored
+from quillvec.llm.components import bucket_edges, components
 from quillvec.session import cut_lineage
 
 PERMUTATIONS, ROWS, SHINGLE, THRESHOLD = 64, 4, 3, 0.6
@@ -101,8 +101,27 @@ def _sign(batches):
 
 def _alike_of(payload: pa.Array):
     matrix = np.stack([np.frombuffer(x.as_buffer(), np.uint16) for x in payload])
-    least = THRESHOLD * matrix.shape[1]
-    return lambda x, others: (matrix[others] == matrix[x]).sum(1) >= least
+    n = matrix.shape[1]
+    half, rest = np.ascontiguousarray(matrix[:, : n // 2]), np.ascontiguousarray(matrix[:, n // 2 :])
+    least = THRESHOLD * n
+
+    def alike(x: int, others: np.ndarray) -> np.ndarray:
+        # most unlike items differ in so much of the first half that the second can't make up for it
+        same = (half[others] == half[x]).sum(1)
+        may = np.flatnonzero(same + (n - n // 2) >= least)
+        out = np.zeros(len(others), bool)
+        out[may] = same[may] + (rest[others[may]] == rest[x]).sum(1) >= least
+        return out
+
+    return alike
+
+
+def parts_of(payload: F.Column) -> F.Column:
+    """Keys of which alike items share one: the signature in more parts than it may have differences."""
+    values = 2 * PERMUTATIONS
+    parts = values - int(np.ceil(THRESHOLD * values)) + 1
+    edges = [round(k * values / parts) for k in range(parts + 1)]
+    return F.array(*(F.xxhash64(F.lit(k), F.substring(payload, 2 * a + 1, 2 * (b - a))) for k, (a, b) in enumerate(zip(edges, edges[1:]))))
 
 
 def text_key() -> F.Column:
@@ -114,42 +133,42 @@ def groups(docs: DataFrame) -> DataFrame:
 
     ``id`` is the digest of the text; ``copies`` counts rows with that doc_id and text.
     """
-    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(), "text").where(F.col("text").isNotNull())
-    signed = cut_lineage(narrow.mapInArrow(_sign, "doc_id long, id binary, payload binary, bands array<long>"))
+    narrow = plain(docs, ["doc_id", "text"]).select("doc_id", text_key(), "text").where(F.col("text").isNotNull())
+    signed = cut_lineage(narrow.mapInArrow(_sign, f"doc_id {kind(narrow, 'doc_id')}, id binary, payload binary, bands array<long>"))
     rows = signed.groupBy("id", "doc_id").agg(F.count("*").alias("copies"))
     items = signed.select("id", "payload", "bands").dropDuplicates(["id"])
-    members = items.select(F.explode("bands").alias("bucket"), "id")
-    roots = components(bucket_edges(members, items.select("id", "payload"), edge_batches(_alike_of)))
+    roots = components(bucket_edges(items, lambda some: some.select(F.explode("bands").alias("bucket"), "id"), _alike_of, parts_of))
     joined = rows.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
-    size = F.sum("copies").over(Window.partitionBy("root"))
-    return joined.withColumn("size", size).where("size > 1")
+    # groups of any size: their counts and first documents are aggregates, combined before they are shuffled
+    first = F.min_by(F.struct("doc_id", "id"), F.struct(F.col("doc_id").isNull(), "doc_id", "id")).alias("first")
+    sizes = joined.groupBy("root").agg(F.sum("copies").alias("size"), first).where("size > 1")
+    return joined.join(sizes, "root")
+
+
+def marked(docs: DataFrame) -> DataFrame:
+    """``groups`` with ``stays``: whether a row of this document and text is the one that its group keeps."""
+    return groups(docs).withColumn("stays", F.col("id").eqNullSafe(F.col("first.id")) & F.col("doc_id").eqNullSafe(F.col("first.doc_id")))
 
 
 def duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, duplicate_of, group_size): each document to drop, with the document of its group that stays."""
-    found = groups(docs)
-    keeper = Window.partitionBy("root").orderBy(F.col("doc_id").asc_nulls_last(), "id")
-    ranked = found.withColumn("n", F.row_number().over(keeper)).withColumn("duplicate_of", F.first("doc_id").over(keeper))
-    dropped = ranked.withColumn("times", F.when(F.col("n") == 1, F.col("copies") - 1).otherwise(F.col("copies"))).where("times > 0")
+    dropped = marked(docs).withColumn("times", F.when(F.col("stays"), F.col("copies") - 1).otherwise(F.col("copies"))).where("times > 0")
     once = F.explode(F.sequence(F.lit(1), F.col("times")))
-    return dropped.select("doc_id", "duplicate_of", F.col("size").alias("group_size"), once.alias("i")).drop("i")
+    return dropped.select("doc_id", F.col("first.doc_id").alias("duplicate_of"), F.col("size").alias("group_size"), once.alias("i")).drop("i")
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
     """``docs`` without near duplicates: one row of each group, and every row that is in none."""
-    found = groups(docs)
-    keeper = Window.partitionBy("root").orderBy(F.col("doc_id").asc_nulls_last(), "id")
-    ranked = cut_lineage(found.withColumn("n", F.row_number().over(keeper)).select("doc_id", "id", "copies", "n"))
-    columns = docs.columns
-    mark = "__text_key" + "_" * max(map(len, columns))
-    tagged = docs.withColumn(mark, text_key())
-    match = lambda other: tagged["doc_id"].eqNullSafe(other["doc_id"]) & (tagged[mark] == other["id"])
-    gone = ranked.where("n > 1 or copies > 1").select("doc_id", "id")
-    rest = tagged.join(gone, match(gone), "left_anti").select(columns)
+    inner = plain(docs, ["doc_id", "text"])
+    found = cut_lineage(marked(inner).select(F.col("doc_id").alias("found_id"), F.col("id").alias("found_key"), "copies", "stays"))
+    tagged = inner.withColumn("key", text_key())
+    match = lambda other: tagged["doc_id"].eqNullSafe(other["found_id"]) & (tagged["key"] == other["found_key"])
+    gone = found.where("not stays or copies > 1").select("found_id", "found_key")
+    rest = tagged.join(gone, match(gone), "left_anti").select(inner.columns)
     # a survivor that stands there several times: one of its rows comes back
-    several = ranked.where("n = 1 and copies > 1").select("doc_id", "id")
-    back = tagged.join(several, match(several), "left_semi").dropDuplicates(["doc_id", mark]).select(columns)
-    return rest.unionByName(back)
+    several = found.where("stays and copies > 1").select("found_id", "found_key")
+    back = tagged.join(several, match(several), "left_semi").dropDuplicates(["doc_id", "key"]).select(inner.columns)
+    return restored(rest.unionByName(back), inner, docs)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
