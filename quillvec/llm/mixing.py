@@ -6,13 +6,15 @@ interleaves the sources in proportion to their weights at every prefix; the sort
 budget of tokens is spent. A source that runs dry leaves its share to the others.
 
 No queue is ever ordered in one task: a queue is split by the leading digits of the shuffled key, whose totals give each
-part its start; the cut is found by narrowing a histogram of virtual times to the one cell that holds it.
+part its start; the cut is found by narrowing a histogram of virtual times to the one cell that holds it. Documents without
+tokens, of which any number may have one virtual time, take no part in finding it.
 
 Defined cases: tokens are runs of non-blank characters; a null or empty text has none, costs nothing, and is kept if its
 time comes before the cut. A null source queues with the empty source name. Sources without a weight get the default; a
-weight of zero or less leaves a source out. A null doc_id is a value like others. Rows that repeat (source, doc_id and
-text) are scheduled as one and stay or go together. Ties of virtual time are broken by source, then by key. An empty
-table gives an empty result; extra columns are carried by ``mix``, whatever their names.
+weight of zero or less leaves a source out. A null doc_id is a value like others, and doc_id may be of any type. Rows that
+repeat (source, doc_id and text) are scheduled as one unit, stay or go together, and all come back. Ties of virtual time
+are broken by source, then by key. An empty table gives an empty result; extra columns are carried by ``mix``, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -21,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quillvec.llm.columns import plain, restored
 from quillvec.session import cut_lineage
 
 TOKEN = r"[^ \t\n\r\f]+"
@@ -35,11 +38,11 @@ def n_tokens(text="text") -> F.Column:
     return F.coalesce(F.regexp_count(F.col(text), F.lit(TOKEN)), F.lit(0)).cast("long")
 
 
-def keys(docs: DataFrame, seed: int = SEED) -> dict[str, F.Column]:
+def keys(seed: int = SEED) -> dict[str, F.Column]:
     return {
-        "queue": F.coalesce(docs["source"], F.lit("")),
-        "key": F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(docs["doc_id"].cast("string"), F.lit("")))),
-        "tie": F.xxhash64(docs["text"]),
+        "queue": F.coalesce(F.col("source").cast("string"), F.lit("")),
+        "key": F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))),
+        "tie": F.xxhash64("text"),
     }
 
 
@@ -48,7 +51,7 @@ def schedule(docs: DataFrame, weights: dict[str, float] | None = None, default_w
     weights = WEIGHTS if weights is None else weights
     pairs = [F.lit(x) for item in weights.items() for x in (item[0], float(item[1]))]
     own = F.try_element_at(F.create_map(*pairs), F.col("queue")) if pairs else F.lit(None).cast("double")
-    units = docs.select(*(c.alias(n) for n, c in keys(docs, seed).items()), docs["doc_id"], n_tokens().alias("n_tokens"))
+    units = plain(docs, ["doc_id", "source", "text"]).select(*(c.alias(n) for n, c in keys(seed).items()), "doc_id", n_tokens().alias("n_tokens"))
     units = units.withColumn("part", F.substring("key", 1, PREFIX_DIGITS)).repartition("queue", "part")
     units = units.groupBy("queue", "part", "key", "tie", "doc_id").agg(F.count("*").alias("copies"), F.sum("n_tokens").alias("n_tokens"))
     units = cut_lineage(units)
@@ -68,7 +71,8 @@ def schedule(docs: DataFrame, weights: dict[str, float] | None = None, default_w
 
 def truncate(timed: DataFrame, budget: int) -> DataFrame:
     """The leading rows, in the order of virtual time, whose tokens sum up to at most ``budget``."""
-    ends = timed.agg(F.min("virtual_finish"), F.max("virtual_finish")).first()
+    costly = timed.where("n_tokens > 0")
+    ends = costly.agg(F.min("virtual_finish"), F.max("virtual_finish")).first()
     if ends[0] is None:
         return timed
     low, high = ends
@@ -77,7 +81,7 @@ def truncate(timed: DataFrame, budget: int) -> DataFrame:
     while high > low:
         width = (high - low) / CELLS
         cell = F.least(F.floor((F.col("virtual_finish") - F.lit(low)) / F.lit(width)), F.lit(CELLS - 1))
-        cells = timed.where(inside).groupBy(cell.alias("cell")).agg(F.sum("n_tokens").alias("t"), F.count("*").alias("n"), F.min("virtual_finish").alias("a"), F.max("virtual_finish").alias("b")).orderBy("cell").collect()
+        cells = costly.where(inside).groupBy(cell.alias("cell")).agg(F.sum("n_tokens").alias("t"), F.count("*").alias("n"), F.min("virtual_finish").alias("a"), F.max("virtual_finish").alias("b")).orderBy("cell").collect()
         for c in cells:
             if spent + c["t"] > budget:
                 break
@@ -89,29 +93,28 @@ def truncate(timed: DataFrame, budget: int) -> DataFrame:
         inside = F.col("virtual_finish").between(F.lit(low), F.lit(high))
         if c["n"] <= CELL_ROWS or not shrunk:
             break
+    # within a source no two of these rows share a virtual time, so that the cell holds few rows
     up_to = F.sum("n_tokens").over(Window.orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, 0))
-    edge = timed.where(inside).withColumn("up_to", up_to).where(F.col("up_to") + F.lit(spent) <= F.lit(budget)).drop("up_to")
-    return timed.where(F.col("virtual_finish") < F.lit(low)).unionByName(edge)
+    over = costly.where(inside).withColumn("up_to", up_to).where(F.col("up_to") + F.lit(spent) > F.lit(budget))
+    cut = over.agg(F.min(F.struct(*ORDER))).first()[0]
+    return timed if cut is None else timed.where(F.struct(*ORDER) < F.struct(*(F.lit(cut[n]).alias(n) for n in ORDER)))
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
     """``docs`` cut and sorted as scheduled, with their own columns."""
-    kept = schedule(docs, **options)
-    columns = docs.columns
-    tag = "__mix" + "_" * max(map(len, columns))
-    tagged = docs.select("*", *(c.alias(tag + n) for n, c in keys(docs, options.get("seed", SEED)).items()))
-    plan = kept.select(*(F.col(n).alias(f"{tag}k_{n}") for n in ORDER), F.col("doc_id").alias(f"{tag}k_doc_id"))
-    match = tagged["doc_id"].eqNullSafe(plan[f"{tag}k_doc_id"])
-    for n in ("queue", "key"):
-        match &= tagged[tag + n] == plan[f"{tag}k_{n}"]
-    match &= tagged[f"{tag}tie"].eqNullSafe(plan[f"{tag}k_tie"])
-    return tagged.join(plan, match).orderBy(*(f"{tag}k_{n}" for n in ORDER)).select(columns)
+    inner = plain(docs, ["doc_id", "source", "text"])
+    kept = schedule(inner, **options)
+    tagged = inner.select("*", *(c.alias(n) for n, c in keys(options.get("seed", SEED)).items()))
+    plan = kept.select(*(F.col(n).alias(f"kept_{n}") for n in (*ORDER, "doc_id")))
+    match = (tagged["doc_id"].eqNullSafe(plan["kept_doc_id"])) & (tagged["queue"] == plan["kept_queue"]) & (tagged["key"] == plan["kept_key"]) & (tagged["tie"] == plan["kept_tie"])
+    return restored(tagged.join(plan, match).orderBy(*(f"kept_{n}" for n in ORDER)), inner, docs)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
+    """The kept rows, copies and all; those of one unit have its cumulative tokens and time."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    kept = schedule(docs).orderBy(*ORDER)
-    return kept.select("doc_id", F.col("queue").alias("source"), "n_tokens", "source_tokens", "virtual_finish")
+    rows = schedule(docs).withColumn("n_tokens", (F.col("n_tokens") / F.col("copies")).cast("long")).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    return rows.orderBy(*ORDER).select("doc_id", F.col("queue").alias("source"), "n_tokens", "source_tokens", "virtual_finish")
 
 
 SQL = f"""
@@ -121,10 +124,10 @@ WITH t AS (
   FROM documents),
 w AS (
   SELECT *, CASE source {' '.join(f"WHEN '{s}' THEN CAST({x} AS DOUBLE)" for s, x in WEIGHTS.items())} ELSE CAST({DEFAULT_WEIGHT} AS DOUBLE) END AS weight,
-         CAST(sum(n_tokens) OVER (PARTITION BY source ORDER BY k ROWS UNBOUNDED PRECEDING) AS BIGINT) AS source_tokens
+         CAST(sum(n_tokens) OVER (PARTITION BY source ORDER BY k RANGE UNBOUNDED PRECEDING) AS BIGINT) AS source_tokens
   FROM t),
 v AS (SELECT *, CAST(source_tokens AS DOUBLE) / weight AS virtual_finish FROM w),
-c AS (SELECT *, sum(n_tokens) OVER (ORDER BY virtual_finish, source, k ROWS UNBOUNDED PRECEDING) AS up_to FROM v)
+c AS (SELECT *, sum(n_tokens) OVER (ORDER BY virtual_finish, source, k RANGE UNBOUNDED PRECEDING) AS up_to FROM v)
 SELECT doc_id, source, n_tokens, source_tokens, virtual_finish
 FROM c WHERE up_to <= floor((SELECT sum(n_tokens) FROM t) * CAST({BUDGET_FRACTION} AS DOUBLE))
 """

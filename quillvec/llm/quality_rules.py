@@ -68,8 +68,8 @@ def measured(docs: DataFrame, *kept: str) -> DataFrame:
     )
 
 
-def quantiles(stats: DataFrame, of: dict[str, str], shares: list[float]) -> DataFrame:
-    """(lang_, source_ and, for each rule, an array of quantiles of its column): one row for each group of documents with words."""
+def quantiles(stats: DataFrame, of: dict[str, str], shares: list[float]) -> tuple[DataFrame, int]:
+    """(lang_, source_ and, for each rule, an array of quantiles of its column), one row for each group of documents with words; the rows."""
     sketches = [F.percentile_approx(column, F.array(*map(F.lit, shares)), F.lit(ACCURACY)).alias(rule) for rule, column in of.items()]
     sets = stats.where("n_words > 0").select("lang", "source", *of.values())
     levels = cut_lineage(sets.groupingSets([["lang", "source"], ["lang"], []], "lang", "source").agg(F.grouping_id().alias("level"), F.count("*").alias("n"), *sketches))
@@ -78,10 +78,10 @@ def quantiles(stats: DataFrame, of: dict[str, str], shares: list[float]) -> Data
     overall = levels.where("level = 3").select(F.lit(0).alias("all2"), F.struct("n", *of).alias("q2"))
     joined = fine.join(by_lang, F.col("lang").eqNullSafe(F.col("lang1")), "left").join(F.broadcast(overall), F.col("all") == F.col("all2"))  # one row
     own = lambda r: F.when(F.col("n") >= LEAST_GROUP, F.col(r)).when(F.col("q1.n") >= LEAST_GROUP, F.col(f"q1.{r}")).otherwise(F.col(f"q2.{r}"))
-    return cut_lineage(joined.select(F.col("lang").alias("lang_"), F.col("source").alias("source_"), *(own(r).alias(r) for r in of)))
+    return joined.select(F.col("lang").alias("lang_"), F.col("source").alias("source_"), *(own(r).alias(r) for r in of)), fine.count()
 
 
-def with_quantiles(stats: DataFrame, limits: DataFrame, suffix: str) -> DataFrame:
+def with_quantiles(stats: DataFrame, limits: DataFrame, groups: int, suffix: str) -> DataFrame:
     """``stats`` with the quantiles of each row's group, the rule's name and ``suffix`` as names.
 
     A few thousand groups are broadcast, once their number is known; more of them are joined by shuffling, each copied
@@ -89,7 +89,7 @@ def with_quantiles(stats: DataFrame, limits: DataFrame, suffix: str) -> DataFram
     """
     limits = limits.withColumnsRenamed({r: r + suffix for r in RULES})
     match = stats["lang"].eqNullSafe(limits["lang_"]) & stats["source"].eqNullSafe(limits["source_"])
-    if limits.count() <= BROADCAST_GROUPS:
+    if groups <= BROADCAST_GROUPS:
         return stats.join(F.broadcast(limits), match, "left").drop("lang_", "source_")
     salted = stats.withColumn("salt", F.pmod(F.xxhash64(*RULES, "n_words"), F.lit(SALTS)))
     copies = limits.withColumn("salt_", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
@@ -100,10 +100,10 @@ def with_quantiles(stats: DataFrame, limits: DataFrame, suffix: str) -> DataFram
 def judged(stats: DataFrame) -> DataFrame:
     """``stats`` (what ``measured`` gives, lang and source among it) with ``broken``, the names of the rules that a row breaks."""
     columns = stats.columns
-    middle = with_quantiles(stats, quantiles(stats, {r: r for r in RULES}, [0.5]), "_m")
+    middle = with_quantiles(stats, *quantiles(stats, {r: r for r in RULES}, [0.5]), "_m")
     deviations = {f"{r}_z": (F.col(r) - F.col(f"{r}_m")[0]) * F.sqrt(F.col("n_words").cast("double")) for r in RULES}
     deviating = middle.withColumns(deviations).drop(*(f"{r}_m" for r in RULES))
-    fenced = with_quantiles(deviating, quantiles(deviating, {r: f"{r}_z" for r in RULES}, [0.25, 0.75]), "_q")
+    fenced = with_quantiles(deviating, *quantiles(deviating, {r: f"{r}_z" for r in RULES}, [0.25, 0.75]), "_q")
     checks = [F.when(F.col("n_words") == 0, F.lit("no_words"))]
     for r, (below, above) in RULES.items():
         z, q = F.col(f"{r}_z"), F.col(f"{r}_q")

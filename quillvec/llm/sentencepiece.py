@@ -1,20 +1,22 @@
-"""SentencePiece encoding and decoding by Viterbi over shared prefixes.
+"""SentencePiece encoding and decoding: Viterbi over a lattice of one path, along shared prefixes.
 
 The vocabulary file is read directly (pieces, scores and kinds of a SentencePiece BPE model with byte fallback). A text is
 marked ("▁" for each blank and one before the text) and cut where no piece of the vocabulary could cross; equal segments
 are encoded once. The distinct segments are sorted, which makes them a trie, and the trie is traversed depth first: the
-forward state of each prefix (its last piece and its score) is kept on a stack and reused by all segments that share the
-prefix.
+forward state of each prefix is kept on a stack and reused by all segments that share the prefix.
 
 The model is a BPE one, for which the best sum of scores is not the library's answer. The lattice is therefore restricted
 to steps that BPE allows: a piece may follow another only if merging their joined text gives just those two pieces. Each
-prefix then has exactly one path, which is the BPE encoding of that prefix, and the last state gives the library's ids.
+prefix then has exactly one path, which is the BPE encoding of that prefix. With one path there is nothing to choose: a
+prefix's forward state is its last piece alone, no scores are summed or compared along the path, and going back through the
+last pieces gives the library's ids. (Scores of the vocabulary are used where it is decided which steps BPE allows.)
 Characters outside the vocabulary become the pieces of their UTF-8 bytes.
 
 Defined cases: a null text has null ids, and an empty one none; there is no normalisation and no added control piece. The
 mark itself ("▁" in a text) is decoded as a blank, as the library does; all other texts come back unchanged. Repeated rows
-are encoded alike. An empty table gives an empty result; ``encode`` carries the columns of its input whatever their names;
-texts of any length are encoded whole.
+are encoded alike. An empty table gives an empty result; ``encode`` carries the columns of its input whatever their names, and
+where the input has a column of an added column's name, the added one gets underscores behind its name; texts of any length
+are encoded whole.
 """
 
 from __future__ import annotations
@@ -31,6 +33,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quillvec.llm.columns import free, place
+
 MARK = "▁"
 MODEL = os.path.join(os.environ.get("QUILLVEC_TOKENIZERS", "/opt/tokenizers"), "piece_bpe_32k.model")
 #: Words remembered by one Python worker; older ones are dropped, and encoded again where they come back.
@@ -312,26 +316,29 @@ def _encoded(path: str, names: list[str], at: int, check: bool):
 
 def encode(docs: DataFrame, path: str = MODEL, column: str = "text", ids: str = "token_ids", check: str | None = None) -> DataFrame:
     """``docs`` with the piece ids of a text column (and, in ``check``, whether decoding them restores the text)."""
+    ids = free(ids, docs.columns)
     added = [T.StructField(ids, T.ArrayType(T.IntegerType()))]
     if check:
-        added.append(T.StructField(check, T.BooleanType()))
+        added.append(T.StructField(free(check, [*docs.columns, ids]), T.BooleanType()))
     schema = T.StructType([*docs.schema.fields, *added])
     # positional names inside the Arrow batch: names of the input may clash or repeat
     plain = T.StructType([T.StructField(f"c{i}", f.dataType) for i, f in enumerate(schema.fields)])
     inner = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
-    out = inner.mapInArrow(_encoded(path, [f.name for f in plain.fields], docs.columns.index(column), bool(check)), plain)
+    out = inner.mapInArrow(_encoded(path, [f.name for f in plain.fields], place(docs.columns, column), bool(check)), plain)
     return out.toDF(*(f.name for f in schema.fields))
 
 
 def decode(tokens: DataFrame, path: str = MODEL, ids: str = "token_ids", text: str = "text") -> DataFrame:
-    """``tokens`` with the text that its ids stand for; null ids give a null text."""
+    """``tokens`` with the text that its ids stand for, under a free name; null ids give a null text."""
 
     @F.pandas_udf("string")
     def back(x):
         v = vocabulary(path)
         return x.map(lambda a: None if a is None else v.decode(list(a)))
 
-    return tokens.withColumn(text, back(F.col(ids)))
+    names = tokens.columns
+    inner = tokens.toDF(*(f"c{i}" for i in range(len(names))))
+    return inner.select("*", back(F.col(f"c{place(names, ids)}")).alias("decoded")).toDF(*names, free(text, names))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
