@@ -7,13 +7,12 @@ tables and further columns are treated as the operators' docstrings say.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillvec.llm import mixing, near_dedup, quality_rules, secret_scan, sentencepiece
-from quillvec.session import ensure_checkpoint_dir
+from quillvec.llm.columns import plain
+from quillvec.session import delete, scratch
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,7 +37,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, n_tokens and token_ids; ``round_trip`` says that decoding restores the text."""
-    out = sentencepiece.encode(docs, check="round_trip")
+    out = sentencepiece.encode(plain(docs, ["doc_id", "lang", "source", "text"]).select("doc_id", "lang", "source", "text"), check="round_trip")
     return out.select("doc_id", "lang", "source", F.size("token_ids").alias("n_tokens"), "token_ids", "round_trip")
 
 
@@ -55,13 +54,19 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages, applied to the documents of ``sf_dir``; each result is a Parquet table in the shared folder."""
-    base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages, applied to the documents of ``sf_dir``; each result is a Parquet table in the shared folder.
+
+    A stage's table is deleted once the next one is written; the last one, which the result reads, when the driver ends.
+    """
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for k, (_, stage) in enumerate(STAGES):
         out = stage(spark, docs, sf_dir)
         if k == len(STAGES) - 1:
             return out
-        out.write.parquet(f"{base}/{k}")
-        docs = spark.read.parquet(f"{base}/{k}")
+        path = scratch(spark, "stage")
+        out.write.parquet(path)
+        docs = spark.read.parquet(path)
+        if before:
+            delete(spark, before)
+        before = path
     return docs
