@@ -180,7 +180,8 @@ def _expression(lexer: Lexer, i: int, op: str) -> list[tuple]:
             end = m.end() if m else i
             if not terms and first not in ("", "=", "+"):
                 run, stop = lexer.bare(i)
-                if run > end:
+                joined = m and text[end : end + 1] == "+" and text[end + 1 : end + 2] in ('"', "'", "`", " ", "\t")
+                if run > end and not joined:
                     return [("bare", i, stop)] if op in ("=", ":=") or lexer.alone(i) else []
             if not m:
                 return terms

@@ -1,11 +1,11 @@
 import pytest
 
 #: Cases that every operator must stand: nulls in any column, blanks, repeats, a long text, clashing extra columns.
-DOCS = "doc_id long, text string, lang string, source string, n_chars long, id string, tie string, lang_ string, doc string, words string, queue string"
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, id string, tie string, lang_ string, doc string, words string, queue string, `a.b` string, token_ids string, round_trip int, logit double, keep string, score string, `__1` string, text_ string"
 
 
 def row(doc_id, text, lang="en", source="s"):
-    return (doc_id, text, lang, source, None if text is None else len(text), "x", None, "y", "d", "w", "q")
+    return (doc_id, text, lang, source, None if text is None else len(text), "x", None, "y", "d", "w", "q", "dot", "t", 7, 0.5, "k", "s", "u", "v")
 
 
 @pytest.fixture(scope="session")
