@@ -25,7 +25,7 @@ from quillvec.functions import codec
 
 MAX_QUERY_BYTES = 64 << 20
 HITS = "query_id string, chunk_id string, score double"
-SHORTLIST_FACTOR, SHORTLIST_SHARE, DIGITS, BLOCK = 20, 10, 9, 2048
+SHORTLIST_FACTOR, SHORTLIST_SHARE, DIGITS, BLOCK, CELLS = 20, 10, 9, 2048, 1024
 
 
 def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
@@ -96,17 +96,52 @@ def search_floats(vectors: DataFrame, queries: np.ndarray, query_ids: Sequence[s
     dim, names = q.shape[1], np.array(list(query_ids), object)
     if k <= 0 or not len(q):
         return top_k(_empty(vectors), 0)
+    rows = _rows(vectors, "embedding")
+    parts = []
+    turns, step = _turns(q)
+    for at in turns:
+
+        def scan(batches, some=q[at : at + step], own=names[at : at + step]):
+            for batch in batches:
+                if len(batch):
+                    ids = batch.column("chunk_id").to_numpy(zero_copy_only=False)
+                    yield _picked(np.round(unit(codec.matrix_of(batch.column("embedding"), dim, np.float64)) @ some.T, DIGITS), ids, own, k)
+
+        parts.append(rows.mapInArrow(scan, HITS))
+    return top_k(reduce(DataFrame.unionByName, parts), k)
 
-    def scan(batches):
+
+def _blocks(rows: DataFrame, of, ids: str, data: str) -> DataFrame:
+    """Blocks of ``BLOCK`` rows of (id, value): the list of ids, and of(values) as bytes."""
+
+    def run(batches):
         for batch in batches:
-            if not len(batch):
-                continue
-            ids = batch.column("chunk_id").to_numpy(zero_copy_only=False)
-            scores = np.round(unit(codec.matrix_of(batch.column("embedding"), dim, np.float64)) @ q.T, DIGITS)
-            yield _picked(scores, ids, names, k)
+            for i in range(0, len(batch), BLOCK):
+                part = batch.slice(i, BLOCK)
+                yield pa.RecordBatch.from_arrays([pa.array([part.column(0).to_pylist()], pa.list_(pa.string())), pa.array([of(part).tobytes()], pa.binary())], names=[ids, data])
+
+    return rows.mapInArrow(run, f"{ids} array<string>, {data} binary")
 
-    rows = vectors.select(F.col("chunk_id").cast("string").alias("chunk_id"), "embedding")
-    return top_k(rows.mapInArrow(scan, HITS), k)
+
+def _against(rows: DataFrame, asked: DataFrame, score, schema: str, names: list[str]) -> DataFrame:
+    """score(ids, data, query_ids, query_data) of each pair of blocks, as batches of columns."""
+
+    def run(batches):
+        for batch in batches:
+            for r in batch.to_pylist():
+                columns = score(np.array(r["ids"], object), r["data"], np.array(r["query_ids"], object), r["query_data"])
+                if columns is not None:
+                    yield columns if isinstance(columns, pa.RecordBatch) else pa.RecordBatch.from_arrays(columns, names=names)
+
+    return rows.crossJoin(asked).mapInArrow(run, schema)
+
+
+def _rows(vectors: DataFrame, *columns: str) -> DataFrame:
+    return vectors.select(F.col("chunk_id").cast("string").alias("chunk_id"), *columns)
+
+
+def _asked(queries: DataFrame) -> DataFrame:
+    return queries.select(F.col("query_id").cast("string").alias("query_id"), "embedding")
 
 
 def search_frame(vectors: DataFrame, queries: DataFrame, config: IndexConfig, matrix: np.ndarray, k: int) -> DataFrame:
@@ -118,81 +153,183 @@ def search_frame(vectors: DataFrame, queries: DataFrame, config: IndexConfig, ma
     if k <= 0:
         return top_k(_empty(vectors), 0)
 
-    def blocks(of):
-        def run(batches):
-            for batch in batches:
-                for i in range(0, len(batch), BLOCK):
-                    part = batch.slice(i, BLOCK)
-                    yield pa.RecordBatch.from_arrays([pa.array([part.column(0).to_pylist()], pa.list_(pa.string())), pa.array([of(part.column(1)).tobytes()], pa.binary())], names=["ids", "data"])
+    def score(ids, data, names, query_data):
+        levels = codec.unpack(np.frombuffer(data, np.uint8).reshape(len(ids), -1), config.dim, config.bits)
+        weights, bias = codec.affine(np.frombuffer(query_data).reshape(len(names), -1), config.bits, config.value_range)
+        return _picked(np.round(levels.astype(np.float64) @ weights + bias, DIGITS), ids, names, k)
 
-        return run
+    rows = _blocks(_rows(vectors, "codes"), lambda b: codec.bytes_of(b.column(1), config.code_bytes), "ids", "data")
+    asked = _blocks(_asked(queries), lambda b: codec.prepare(codec.matrix_of(b.column(1), config.dim), config, matrix), "query_ids", "query_data")
+    return top_k(_against(rows, asked, score, HITS, []), k)
 
-    shape = "ids array<string>, data binary"
-    rows = vectors.select(F.col("chunk_id").cast("string").alias("chunk_id"), "codes").mapInArrow(blocks(lambda c: codec.bytes_of(c, config.code_bytes)), shape)
-    asked = queries.select(F.col("query_id").cast("string").alias("query_id"), "embedding").mapInArrow(blocks(lambda c: codec.prepare(codec.matrix_of(c, config.dim), config, matrix)), shape)
-    pairs = rows.crossJoin(asked.withColumnsRenamed({"ids": "query_ids", "data": "query_data"}))
 
-    def score(batches):
-        for batch in batches:
-            for r in batch.to_pylist():
-                ids, names = np.array(r["ids"], object), np.array(r["query_ids"], object)
-                levels = codec.unpack(np.frombuffer(r["data"], np.uint8).reshape(len(ids), -1), config.dim, config.bits)
-                weights, bias = codec.affine(np.frombuffer(r["query_data"]).reshape(len(names), -1), config.bits, config.value_range)
-                scores = np.round(levels.astype(np.float64) @ weights + bias, DIGITS)
-                yield _picked(scores, ids, names, k)
+def search_floats_frame(vectors: DataFrame, queries: DataFrame, dim: int, k: int, normalize: bool = True) -> DataFrame:
+    """``search_floats`` for queries that are a table (query_id, embedding) of any size, block against block."""
+    if k <= 0:
+        return top_k(_empty(vectors), 0)
+    unit = lambda x: x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), codec.TINY) if normalize else x
+    of = lambda b: unit(codec.matrix_of(b.column(1), dim, np.float64))
 
-    return top_k(pairs.mapInArrow(score, HITS), k)
+    def score(ids, data, names, query_data):
+        return _picked(np.round(np.frombuffer(data).reshape(len(ids), dim) @ np.frombuffer(query_data).reshape(len(names), dim).T, DIGITS), ids, names, k)
+
+    return top_k(_against(_blocks(_rows(vectors, "embedding"), of, "ids", "data"), _blocks(_asked(queries), of, "query_ids", "query_data"), score, HITS, []), k)
 
 
 def shortlist_size(k: int, size: int) -> int:
     return max(SHORTLIST_FACTOR * k, size // SHORTLIST_SHARE)
 
 
+def _distances(own: np.ndarray, asked: np.ndarray) -> np.ndarray:
+    """Hamming distances [rows, queries]."""
+    return np.stack([codec.hamming(own, q) for q in asked], 1)
+
+
+def _cut(counts: np.ndarray, wanted: int) -> int:
+    """The first place by which ``wanted`` are counted, the last one if there are fewer."""
+    return min(int(np.searchsorted(np.cumsum(counts), wanted)), len(counts) - 1)
+
+
 def search_fast(vectors: DataFrame, config: IndexConfig, prepared: np.ndarray, query_ids: Sequence[str], k: int, size: int, compat_row_order: bool = False) -> DataFrame:
     """Two stages: a shortlist by Hamming distance of the sketches (chunk_id, seq, sketch), then exact scores of it.
 
-    The shortlist holds the nearest ``shortlist_size`` rows, ties in order of ``seq``. With ``compat_row_order`` it holds the
-    first ones in order of ``seq`` among all within the distance of the next one after the shortlist.
+    The shortlist holds all rows as near as the ``shortlist_size``-th nearest. It is never gathered: a first scan counts the
+    rows at each distance (dim + 1 numbers a query), which gives the distance that bounds the shortlist, and a second scan
+    scores exactly what lies within it. With ``compat_row_order`` the shortlist holds the first ``shortlist_size`` rows in
+    order of ``seq`` among all within the distance of the next one after the shortlist; their last ``seq`` is found by
+    counting in the same way, in cells that narrow.
     """
     if k <= 0 or not len(prepared):
         return top_k(_empty(vectors), 0)
     keep = shortlist_size(k, size)
     q_sketch = codec.sketch(prepared)
     names = np.array(list(query_ids), object)
-    width = q_sketch.shape[1]
+    n, width, places = len(names), q_sketch.shape[1], config.dim + 1
 
-    def distances(batches):
-        for batch in batches:
-            if not len(batch):
-                continue
-            own = codec.bytes_of(batch.column("sketch"), width)
-            for q, name in zip(q_sketch, names):
-                d = codec.hamming(own, q)
-                # all ties of the batch's edge are kept; the global rank decides among them
-                near = np.flatnonzero(d <= (np.partition(d, keep)[keep] if len(d) > keep + 1 else d.max()))
-                yield pa.RecordBatch.from_arrays([pa.array([name] * len(near), pa.string()), batch.column("chunk_id").take(pa.array(near)), batch.column("seq").take(pa.array(near)), pa.array(d[near].astype(np.int32))], names=["query_id", "chunk_id", "seq", "distance"])
-
-    found = vectors.select(F.col("chunk_id").cast("string").alias("chunk_id"), F.col("seq").cast("long").alias("seq"), "sketch").mapInArrow(distances, "query_id string, chunk_id string, seq long, distance int")
-    by_query = Window.partitionBy("query_id")
-    ranked = found.withColumn("place", F.row_number().over(by_query.orderBy("distance", "seq")))
+    def counted(cells: int, cell_of) -> np.ndarray:
+        """Rows by query and cell; cell_of(distances, seq) numbers the cells, ``cells`` stands for none."""
+
+        def run(batches):
+            total = np.zeros((n, cells + 1), np.int64)
+            for batch in batches:
+                if len(batch):
+                    at = cell_of(_distances(codec.bytes_of(batch.column("sketch"), width), q_sketch), batch.column("seq").to_numpy())
+                    for q in range(n):
+                        total[q] += np.bincount(at[:, q], minlength=cells + 1)
+            q, c = np.nonzero(total[:, :cells])
+            yield pa.RecordBatch.from_arrays([pa.array(q.astype(np.int32)), pa.array(c.astype(np.int32)), pa.array(total[q, c])], names=["q", "c", "n"])
+
+        rows = vectors.select(F.col("seq").cast("long").alias("seq"), "sketch").mapInArrow(run, "q int, c int, n long").groupBy("q", "c").agg(F.sum("n").alias("n")).collect()
+        out = np.zeros((n, cells), np.int64)
+        for r in rows:
+            out[r["q"], r["c"]] = r["n"]
+        return out
+
+    by_distance = counted(places, lambda d, _: d)
+    edge = np.array([_cut(c, keep + compat_row_order) for c in by_distance])
+    last = np.full(n, np.iinfo(np.int64).max)
     if compat_row_order:
-        edge = F.max(F.when(F.col("place") <= keep + 1, F.col("distance"))).over(by_query)
-        ranked = ranked.withColumn("edge", edge).where("distance <= edge").withColumn("place", F.row_number().over(by_query.orderBy("seq")))
-    short = ranked.where(F.col("place") <= keep).select("query_id", "chunk_id")
-    candidates = vectors.select(F.col("chunk_id").cast("string").alias("chunk_id"), "codes").join(short, "chunk_id")
+        ends = vectors.agg(F.min("seq"), F.max("seq")).first()
+        low, high, before = np.full(n, ends[0] or 0), np.full(n, ends[1] or 0), np.zeros(n, np.int64)
+        while (high > low).any():
+            step = np.maximum(1, -(-(high - low + 1) // CELLS))
+
+            def cell(d, seq, low=low, high=high, step=step):
+                at = (seq[:, None] - low) // step
+                return np.where((d <= edge) & (seq[:, None] >= low) & (seq[:, None] <= high), at, CELLS)
+
+            for q, c in enumerate(counted(CELLS, cell)):
+                place = _cut(c, keep - before[q])
+                before[q] += c[:place].sum()
+                low[q], high[q] = low[q] + place * step[q], min(high[q], low[q] + (place + 1) * step[q] - 1)
+        last = high
     weights, bias = codec.affine(prepared, config.bits, config.value_range)
-    number = {n: i for i, n in enumerate(names)}
 
-    def rescore(batches):
+    def rescored(batches):
         for batch in batches:
             if not len(batch):
                 continue
-            which = np.array([number[x] for x in batch.column("query_id").to_pylist()])
-            levels = codec.unpack(codec.bytes_of(batch.column("codes"), config.code_bytes), config.dim, config.bits).astype(np.float64)
-            scores = np.round(np.einsum("nd,dn->n", levels, weights[:, which]) + bias[which], DIGITS)
-            yield pa.RecordBatch.from_arrays([batch.column("query_id"), batch.column("chunk_id"), pa.array(scores)], names=["query_id", "chunk_id", "score"])
+            inside = _distances(codec.bytes_of(batch.column("sketch"), width), q_sketch) <= edge
+            inside &= batch.column("seq").to_numpy()[:, None] <= last
+            some = np.flatnonzero(inside.any(1))
+            if len(some):
+                part = batch.take(pa.array(some))
+                yield _within(codec.bytes_of(part.column("codes"), config.code_bytes), inside[some], part.column("chunk_id").to_numpy(zero_copy_only=False), names)
+
+    def _within(codes, inside, ids, names):
+        scores = np.round(codec.unpack(codes, config.dim, config.bits).astype(np.float64) @ weights + bias, DIGITS)
+        return _picked_inside(scores, inside, ids, names, k)
+
+    rows = _rows(vectors, F.col("seq").cast("long").alias("seq"), "codes", "sketch")
+    return top_k(rows.mapInArrow(rescored, HITS), k)
+
+
+def _picked_inside(scores: np.ndarray, inside: np.ndarray, ids: np.ndarray, names: np.ndarray, k: int) -> pa.RecordBatch:
+    """As ``_picked``, of the rows that are inside each query's shortlist."""
+    places = []
+    for q in range(len(names)):
+        own = np.flatnonzero(inside[:, q])
+        places.append(own[_best(scores[own, q], ids[own], k)])
+    sizes, flat = [len(p) for p in places], np.concatenate(places)
+    columns = [pa.array(np.repeat(names, sizes), pa.string()), pa.array(ids[flat], pa.string()), pa.array(scores[flat, np.repeat(np.arange(len(names)), sizes)])]
+    return pa.RecordBatch.from_arrays(columns, names=["query_id", "chunk_id", "score"])
+
+
+def search_fast_frame(vectors: DataFrame, queries: DataFrame, config: IndexConfig, matrix: np.ndarray, k: int, size: int) -> DataFrame:
+    """``search_fast`` for queries that are a table (query_id, embedding) of any size, block against block.
 
-    return top_k(candidates.select("query_id", "chunk_id", "codes").mapInArrow(rescore, HITS), k)
+    What is shuffled between the scans is one row for each query and distance that occurs; each query's bound comes back
+    with its block.
+    """
+    if k <= 0:
+        return top_k(_empty(vectors), 0)
+    keep, width, dim = shortlist_size(k, size), -(-config.dim // 8), config.dim
+    prepare = lambda c: codec.prepare(codec.matrix_of(c, dim), config, matrix)
+    sketches = _blocks(_rows(vectors, "sketch"), lambda b: codec.bytes_of(b.column(1), width), "ids", "data")
+    asked = _blocks(_asked(queries), lambda b: codec.sketch(prepare(b.column(1))), "query_ids", "query_data")
+
+    def count(ids, data, names, query_data):
+        d = _distances(np.frombuffer(data, np.uint8).reshape(len(ids), -1), np.frombuffer(query_data, np.uint8).reshape(len(names), -1))
+        at = np.bincount((d + np.arange(len(names)) * (dim + 1)).ravel(), minlength=len(names) * (dim + 1)).reshape(len(names), -1)
+        q, c = np.nonzero(at)
+        return [pa.array(names[q], pa.string()), pa.array(c.astype(np.int32)), pa.array(at[q, c])]
+
+    found = _against(sketches, asked, count, "query_id string, distance int, n long", ["query_id", "distance", "n"])
+    # each query's bound: its counts, a short array, in order of distance
+    tally = found.groupBy("query_id", "distance").agg(F.sum("n").alias("n")).groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("distance", "n"))).alias("t"))
+    enough = F.aggregate("t", F.struct(F.lit(0).cast("long").alias("sum"), F.lit(-1).alias("edge")), lambda a, x: F.struct((a["sum"] + x["n"]).alias("sum"), F.when(a["sum"] < keep, x["distance"]).otherwise(a["edge"]).alias("edge")))
+    bounds = tally.select("query_id", enough["edge"].alias("edge"))
+    bounded = _asked(queries).join(bounds, "query_id")
+
+    def packed(b):
+        """Prepared queries and their bounds, side by side."""
+        return np.concatenate((prepare(b.column(1)), b.column(2).to_numpy()[:, None].astype(np.float64)), 1)
+
+    def stored(b):
+        return np.concatenate((codec.bytes_of(b.column(1), config.code_bytes), codec.bytes_of(b.column(2), width)), 1)
+
+    def score(ids, data, names, query_data):
+        both, asked_ = np.frombuffer(data, np.uint8).reshape(len(ids), -1), np.frombuffer(query_data).reshape(len(names), -1)
+        prepared, edge = asked_[:, :-1], asked_[:, -1]
+        inside = _distances(np.ascontiguousarray(both[:, config.code_bytes :]), codec.sketch(prepared)) <= edge
+        weights, bias = codec.affine(prepared, config.bits, config.value_range)
+        scores = np.round(codec.unpack(np.ascontiguousarray(both[:, : config.code_bytes]), dim, config.bits).astype(np.float64) @ weights + bias, DIGITS)
+        return _picked_inside(scores, inside, ids, names, k)
+
+    return top_k(_against(_blocks(_rows(vectors, "codes", "sketch"), stored, "ids", "data"), _blocks(bounded, packed, "query_ids", "query_data"), score, HITS, []), k)
+
+
+def hamming_frame(vectors: DataFrame, queries: DataFrame, width: int, k: int) -> DataFrame:
+    """(query_id, chunk_id, distance, rank): the k nearest sketches (chunk_id, sketch) of each query (query_id, sketch), ties by id."""
+
+    def score(ids, data, names, query_data):
+        d = _distances(np.frombuffer(data, np.uint8).reshape(len(ids), width), np.frombuffer(query_data, np.uint8).reshape(len(names), width))
+        return _picked(-d.astype(np.float64), ids, names, k)
+
+    of = lambda b: codec.bytes_of(b.column(1), width)
+    asked = queries.select(F.col("query_id").cast("string").alias("query_id"), "sketch")
+    hits = top_k(_against(_blocks(_rows(vectors, "sketch"), of, "ids", "data"), _blocks(asked, of, "query_ids", "query_data"), score, HITS, []), k)
+    return hits.select("query_id", "chunk_id", (-F.col("score")).cast("int").alias("distance"), "rank")
 
 
 def encode(rows: DataFrame, config: IndexConfig, matrix: np.ndarray) -> DataFrame:

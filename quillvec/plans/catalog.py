@@ -216,6 +216,7 @@ def exact_search_batch(spark, sf_dir):
 
 
 SHORT = f"k AS (SELECT greatest({20 * TOP}, count(*) // 10) AS keep FROM embeddings), o AS (SELECT vec_id, distance, row_number() OVER (ORDER BY distance, vec_id) AS place FROM ham)"
+NEAR = "bound AS (SELECT max(distance) AS most FROM o, k WHERE place <= keep), short AS (SELECT vec_id FROM o, bound WHERE distance <= most)"
 FAST = "SELECT vec_id, round(score, 6) AS score, rank FROM (SELECT s.*, " + RANKED + " FROM s JOIN short USING (vec_id)) WHERE rank <= " + str(TOP)
 
 
@@ -224,7 +225,7 @@ def _fast(spark, sf_dir, compat=False):
     return _shown(search.search_fast(rows, config(), prepared_first(spark, sf_dir), ["0"], TOP, table(spark, sf_dir, "embeddings").count(), compat))
 
 
-@register("fast_search_topk", f"WITH {WORDS}, {HITS_OF_FIRST}, {SHORT}, short AS (SELECT vec_id FROM o, k WHERE place <= keep) {FAST}")
+@register("fast_search_topk", f"WITH {WORDS}, {HITS_OF_FIRST}, {SHORT}, {NEAR} {FAST}")
 def fast_search_topk(spark, sf_dir):
     return _fast(spark, sf_dir)
 
@@ -235,6 +236,72 @@ def fast_search_row_order_compat(spark, sf_dir):
     return _fast(spark, sf_dir, True)
 
 
+def _everyone(spark, sf_dir) -> DataFrame:
+    """Every vector as a query."""
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("query_id"), "embedding")
+
+
+def _shown_batch(hits: DataFrame, score: str = "score") -> DataFrame:
+    value = F.round(score, 6).alias(score) if score == "score" else F.col(score)
+    return hits.select(F.col("query_id").cast("long").alias("query_id"), F.col("chunk_id").cast("long").alias("vec_id"), value, "rank")
+
+
+ALL_FAST = f"""{PAIRS.split("," + chr(10))[0]}, k AS (SELECT greatest({20 * TOP}, count(*) // 10) AS keep FROM embeddings),
+hp AS (SELECT a.vec_id AS query_id, w.vec_id, CAST(bit_count(xor(w.w0, a.w0)) + bit_count(xor(w.w1, a.w1)) AS INTEGER) AS distance FROM w, w a),
+ho AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS place FROM hp),
+bound AS (SELECT query_id, max(distance) AS most FROM ho, k WHERE place <= keep GROUP BY query_id),
+fs AS (SELECT p.query_id, p.vec_id, p.score FROM p JOIN hp USING (query_id, vec_id) JOIN bound USING (query_id) WHERE distance <= most),
+ff AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, CAST(vec_id AS VARCHAR)) AS INTEGER) AS rank FROM fs)"""
+
+
+def _fast_batch(spark, sf_dir, k: int = TOP) -> DataFrame:
+    size = table(spark, sf_dir, "embeddings").count()
+    return search.search_fast_frame(encoded(spark, sf_dir), _everyone(spark, sf_dir), config(), codec.rotation(DIM, 0, "srht"), k, size)
+
+
+@register("fast_search_batch", f"WITH {WORDS}, {ALL_FAST} SELECT query_id, vec_id, round(score, 6) AS score, rank FROM ff WHERE rank <= {TOP}")
+def fast_search_batch(spark, sf_dir):
+    """The two-stage search of every vector."""
+    return _shown_batch(_fast_batch(spark, sf_dir))
+
+
+@register("fast_search_recall", f"""WITH {WORDS}, {ALL_FAST},
+er AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, CAST(vec_id AS VARCHAR)) AS INTEGER) AS rank FROM p)
+SELECT er.query_id, count(ff.vec_id) / {TOP}.0::DOUBLE AS overlap FROM er LEFT JOIN ff ON ff.query_id = er.query_id AND ff.vec_id = er.vec_id AND ff.rank <= {TOP} WHERE er.rank <= {TOP} GROUP BY er.query_id""")
+def fast_search_recall(spark, sf_dir):
+    """The share of the exact hits that the two-stage search finds, for every vector."""
+    return evaluate.overlap(_fast_batch(spark, sf_dir), _batch(spark, sf_dir)).select(F.col("query_id").cast("long").alias("query_id"), "overlap")
+
+
+@register("hamming_batch", f"""WITH {WORDS}, hp AS (SELECT a.vec_id AS query_id, w.vec_id, CAST(bit_count(xor(w.w0, a.w0)) + bit_count(xor(w.w1, a.w1)) AS INTEGER) AS distance FROM w, w a)
+SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance, CAST(vec_id AS VARCHAR)) AS INTEGER) AS rank FROM hp) WHERE rank <= {TOP}""")
+def hamming_batch(spark, sf_dir):
+    """The nearest sketches of every vector."""
+    e = encoded(spark, sf_dir)
+    return _shown_batch(search.hamming_frame(e, e.select(F.col("chunk_id").alias("query_id"), "sketch"), DIM // 8, TOP), "distance")
+
+
+@register("filtered_search_batch", f"WITH {ENCODED}, {PAIRS.split(',' + chr(10))[0]} SELECT query_id, vec_id, round(score, 6) AS score, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, CAST(vec_id AS VARCHAR)) AS INTEGER) AS rank FROM p WHERE label >= 2 AND label <> 3) WHERE rank <= {TOP}")
+def filtered_search_batch(spark, sf_dir):
+    """Every vector as a query among those that a filter keeps."""
+    e = encoded(spark, sf_dir).withColumn("m", F.parse_json(F.to_json(F.struct("label"))))
+    kept = e.where(filters.predicate({"label": {"$gte": 2, "$ne": 3}}, F.col("m")))
+    return _shown_batch(search.search_frame(kept, _everyone(spark, sf_dir), config(), codec.rotation(DIM, 0, "srht"), TOP))
+
+
+def _searched(bits: int):
+    hits = f"WITH {ROTATED}, q AS (SELECT vec_id, label, y, {levels_sql(bits)} AS levels FROM t), d AS (SELECT *, {deq_sql('levels', bits)} AS deq FROM q), {PAIRS}"
+
+    @register(f"exact_search_batch_{bits}bit", f"{hits} SELECT query_id, vec_id, round(score, 6) AS score, rank FROM r WHERE rank <= {TOP}")
+    def run(spark, sf_dir):
+        c = config(bits)
+        return _shown_batch(search.search_frame(encoded(spark, sf_dir, c), _everyone(spark, sf_dir), c, codec.rotation(DIM, 0, "srht"), TOP))
+
+
+for _bits in (2, 4):
+    _searched(_bits)
+
+
 @register("float_baseline_topk", f"WITH {UNIT}, s AS (SELECT n.vec_id, round(list_dot_product(n.v, f.v), 9) AS score FROM n, (SELECT v FROM n WHERE vec_id = {FIRST}) f) SELECT vec_id, round(score, 6) AS score, rank FROM (SELECT *, {RANKED} FROM s) WHERE rank <= {TOP}")
 def float_baseline_topk(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("string").alias("chunk_id"), "embedding")
@@ -601,10 +668,15 @@ fr AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DE
 
 
 def _float_batch(spark, sf_dir, k: int) -> DataFrame:
-    """Exact float neighbours of every vector, as the truth; the driver holds the vectors, as queries of the baseline."""
+    """Exact float neighbours of every vector, as the truth."""
     rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("string").alias("chunk_id"), "embedding")
-    asked = rows.orderBy("chunk_id").toPandas()
-    return search.search_floats(rows, np.stack(asked["embedding"].to_numpy()).astype(np.float64), asked["chunk_id"].tolist(), k)
+    return search.search_floats_frame(rows, _everyone(spark, sf_dir), DIM, k)
+
+
+@register("float_search_batch", f"WITH {UNIT}, {FLOATS} SELECT query_id, vec_id, round(score, 6) AS score, rank FROM fr WHERE rank <= {TOP}")
+def float_search_batch(spark, sf_dir):
+    """The float baseline of every vector."""
+    return _shown_batch(_float_batch(spark, sf_dir, TOP))
 
 
 def _cases(spark, sf_dir, k: int = 5) -> DataFrame:
