@@ -1,14 +1,18 @@
-"""The vector index: a versioned Parquet table of packed codes, sketches and metadata.
-
-Layout: ``_CURRENT`` names the version; ``v=NNNNNN/`` has ``config.json``, ``rotation.npy`` and ``vectors/`` (chunk_id, seq,
-shard, codes, sketch, metadata as JSON text). Every change writes a new version beside the old and then replaces the
-pointer, so readers see either all of it or nothing. Files are reached through Hadoop's file system API, so that the
-location may be any that Spark can write to.
+"""The vector index: versions of a table of packed codes, sketches and metadata that only ever grows.
+
+Layout: ``_CURRENT`` names the version; ``manifest-NNNNNN.json`` lists its parts; ``config.json`` and ``rotation.npy`` hold for all
+versions; ``data/*/`` are Parquet tables (chunk_id, seq, shard, codes, sketch, metadata as JSON text) and ``gone/*/`` tables of
+removed rows (chunk_id, before: rows of that id with a lesser ``seq`` are dead). Saving writes what was added and removed since,
+then a manifest, and then replaces the pointer, so readers see either all of it or nothing, and a change costs what it
+changes. After ``MOST_PARTS`` parts the live rows are written anew as one; ``vacuum`` deletes what no kept version names.
+Files are reached through Hadoop's file system API, so that the location may be any that Spark can write to.
 """
 
 from __future__ import annotations
 
 import io
+import json
+import uuid
 from typing import Any
 
 import numpy as np
@@ -22,7 +26,8 @@ from quillvec.operators import filters, search
 from quillvec.operators.ordering import numbered
 from quillvec.session import cut_lineage
 
-FAST_BEYOND = 10_000
+FAST_BEYOND, MOST_PARTS = 10_000, 64
+GONE = "chunk_id string, before long"
 COLUMNS = ["chunk_id", "seq", "shard", "codes", "sketch", "metadata"]
 SCHEMA = "chunk_id string, seq long, shard int, codes binary, sketch binary, metadata variant"
 
@@ -47,6 +52,13 @@ class Files:
         finally:
             stream.close()
 
+    def folders(self, name: str) -> list[str]:
+        at = self._path(name)
+        return sorted(f"{name}/{s.getPath().getName()}" for s in self.fs.listStatus(at)) if self.fs.exists(at) else []
+
+    def delete(self, name: str) -> None:
+        self.fs.delete(self._path(name), True)
+
     def write(self, name: str, data: bytes) -> None:
         """Write beside and rename over."""
         temporary = self._path(f".{name.replace('/', '_')}.tmp")
@@ -63,16 +75,30 @@ class Files:
 
 
 class VectorIndex:
-    """An index handle. Changes return a new state in memory; ``save`` writes it as the next version."""
+    """An index handle. Changes are kept by the handle; ``save`` writes them as the next version."""
 
     def __init__(self, spark: SparkSession, config: IndexConfig, rows: DataFrame | None = None, matrix: np.ndarray | None = None):
         self.spark, self.config = spark, config
         self.matrix = codec.rotation(config.dim, config.seed, config.rotation_kind) if matrix is None else matrix
-        self.rows = spark.createDataFrame([], SCHEMA) if rows is None else rows
+        self._stored = spark.createDataFrame([], SCHEMA) if rows is None else rows
+        self._gone: DataFrame | None = None
         self._size: int | None = 0 if rows is None else None
+        self._ends: tuple[int, int] | None = (0, 0) if rows is None else None
+        # what isn't saved yet, and the place and manifest that the rest is saved at
+        self._added: list[DataFrame] = []
+        self._removed: list[DataFrame] = []
+        self._home: tuple[str, int, dict] | None = None
 
     # -- state
 
+    @property
+    def rows(self) -> DataFrame:
+        """The live rows."""
+        if self._gone is None:
+            return self._stored
+        gone = self._gone.withColumnRenamed("chunk_id", "gone_id")
+        return self._stored.join(gone, (F.col("chunk_id") == F.col("gone_id")) & (F.col("seq") < F.col("before")), "left_anti")
+
     def __len__(self) -> int:
         if self._size is None:
             self._size = self.rows.count()
@@ -85,9 +111,33 @@ class VectorIndex:
         c = self.config
         return f"VectorIndex(dim={c.dim}, bits={c.bits}, size={len(self)})"
 
-    def _changed(self, rows: DataFrame) -> None:
-        self.rows = cut_lineage(rows.select(COLUMNS))
-        self._size = None
+    def _next(self) -> tuple[int, int]:
+        """The next sequence number and shard; numbers of removed rows are not used again."""
+        if self._ends is None:
+            last = self._stored.agg(F.max("seq"), F.max("shard")).first()
+            self._ends = tuple(0 if x is None else x + 1 for x in last)
+        return self._ends
+
+    def _append(self, encoded: DataFrame) -> int:
+        fresh = cut_lineage(self._numbered(encoded).select(COLUMNS))
+        n, last, shard = fresh.agg(F.count("*"), F.max("seq"), F.max("shard")).first()
+        if n:
+            self._size = len(self) + n
+            self._ends = last + 1, shard + 1
+            self._stored = self._stored.select(COLUMNS).unionByName(fresh)
+            self._added.append(fresh)
+        return n
+
+    def _remove(self, ids: DataFrame) -> int:
+        """Mark the live rows of some ids as removed; how many there are."""
+        found = self.rows.join(ids.select(F.col("chunk_id").cast("string").alias("chunk_id")).distinct(), "chunk_id", "left_semi")
+        gone = cut_lineage(found.select("chunk_id", F.lit(self._next()[0]).cast("long").alias("before")))
+        n = gone.count()
+        if n:
+            self._size = len(self) - n
+            self._gone = gone if self._gone is None else self._gone.unionByName(gone)
+            self._removed.append(gone)
+        return n
 
     # -- changes
 
@@ -105,13 +155,12 @@ class VectorIndex:
 
         Rows are numbered in order of chunk_id without gathering them: range-sorted partitions, each with its start.
         """
-        last = self.rows.agg(F.max("seq"), F.max("shard")).first()
-        start, shard = (-1 if x is None else x for x in last)
+        start, shard = self._next()
         rows = numbered(encoded, ["chunk_id"], "n")
         return rows.select(
             "chunk_id",
-            (F.lit(start + 1) + F.col("n")).cast("long").alias("seq"),
-            (F.lit(shard + 1) + F.floor(F.col("n") / self.config.shard_size)).cast("int").alias("shard"),
+            (F.lit(start) + F.col("n")).cast("long").alias("seq"),
+            (F.lit(shard) + F.floor(F.col("n") / self.config.shard_size)).cast("int").alias("shard"),
             "codes",
             "sketch",
             F.parse_json("metadata_json").alias("metadata"),
@@ -130,21 +179,16 @@ class VectorIndex:
         known = ids.join(self.rows.select("chunk_id"), "chunk_id", "left_semi").agg(F.min("chunk_id")).first()[0]
         if known is not None:
             raise DuplicateIDError(known)
-        before = len(self)
-        self._changed(self.rows.unionByName(self._numbered(self._incoming(batch))))
-        return len(self) - before
+        return self._append(self._incoming(batch))
 
     def add_new(self, batch: DataFrame) -> int:
         """Append those rows of a batch whose ids aren't there yet, one of each id; how streams are taken in."""
-        one = batch.withColumn("chunk_id", F.col("chunk_id").cast("string")).dropDuplicates(["chunk_id"])
-        return self.add(one.join(self.rows.select("chunk_id"), "chunk_id", "left_anti"))
+        one = batch.withColumn("chunk_id", F.col("chunk_id").cast("string")).where("chunk_id is not null").dropDuplicates(["chunk_id"])
+        return self._append(self._incoming(one.join(self.rows.select("chunk_id"), "chunk_id", "left_anti")))
 
     def delete(self, ids: list[str] | DataFrame) -> int:
         """Remove rows by id; unknown ids are ignored; the number removed."""
-        gone = ids if isinstance(ids, DataFrame) else self.spark.createDataFrame([(str(i),) for i in ids], "chunk_id string")
-        before = len(self)
-        self._changed(self.rows.join(gone.select(F.col("chunk_id").cast("string").alias("chunk_id")).distinct(), "chunk_id", "left_anti"))
-        return before - len(self)
+        return self._remove(ids if isinstance(ids, DataFrame) else self.spark.createDataFrame([(str(i),) for i in ids], "chunk_id string"))
 
     def update(self, batch: DataFrame) -> int:
         """Replace rows whose ids must all be there, in one step; metadata not given again is gone."""
@@ -153,9 +197,9 @@ class VectorIndex:
         missing = ids.join(self.rows.select("chunk_id"), "chunk_id", "left_anti").agg(F.min("chunk_id")).first()[0]
         if missing is not None:
             raise IDNotFoundError(missing)
-        fresh = self._numbered(self._incoming(batch))
-        self._changed(self.rows.join(ids, "chunk_id", "left_anti").unionByName(fresh))
-        return ids.count()
+        incoming = cut_lineage(self._incoming(batch))  # a batch that can't be encoded changes nothing
+        self._remove(ids)
+        return self._append(incoming)
 
     # -- search
 
@@ -186,20 +230,40 @@ class VectorIndex:
     # -- storage
 
     def save(self, path: str) -> int:
-        """Write the next version and point to it; the version's number."""
+        """Write what changed as the next version and point to it; the version's number."""
         files = Files(self.spark, path)
         current = files.read("_CURRENT")
         version = int(current) + 1 if current else 1
-        at = f"v={version:06d}"
-        stored = self.rows.withColumn("metadata", F.to_json("metadata"))
-        stored.write.mode("overwrite").parquet(f"{files.base}/{at}/vectors")
-        buffer = io.BytesIO()
-        np.save(buffer, self.matrix)
-        files.write(f"{at}/rotation.npy", buffer.getvalue())
-        files.write(f"{at}/config.json", self.config.to_json().encode())
+        same = self._home is not None and self._home[0] == files.base and self._home[1] == version - 1
+        parts = dict(self._home[2]) if same else {"data": [], "gone": []}
+        if same and len(parts["data"]) + len(parts["gone"]) < MOST_PARTS:
+            fresh, removed = self._added, self._removed
+        else:
+            parts, fresh, removed = {"data": [], "gone": []}, [self.rows.select(COLUMNS)], []
+        if fresh:
+            parts["data"] = [*parts["data"], self._write(files, "data", fresh, F.to_json("metadata").alias("metadata"))]
+        if removed:
+            parts["gone"] = [*parts["gone"], self._write(files, "gone", removed)]
+        manifest = {**parts, "size": len(self), "next": list(self._next())}
+        if not same:
+            buffer = io.BytesIO()
+            np.save(buffer, self.matrix)
+            files.write("rotation.npy", buffer.getvalue())
+            files.write("config.json", self.config.to_json().encode())
+        files.write(f"manifest-{version:06d}.json", json.dumps(manifest).encode())
         files.write("_CURRENT", str(version).encode())
+        self._home, self._added, self._removed = (files.base, version, parts), [], []
         return version
 
+    def _write(self, files: Files, kind: str, frames: list[DataFrame], *changed) -> str:
+        name = f"{kind}/{uuid.uuid4().hex}"
+        whole = frames[0]
+        for f in frames[1:]:
+            whole = whole.unionByName(f)
+        others = [c for c in whole.columns if not changed or c != "metadata"]
+        whole.select(*others, *changed).write.parquet(f"{files.base}/{name}")
+        return name
+
     @classmethod
     def open(cls, spark: SparkSession, path: str, version: int | None = None) -> VectorIndex:
         files = Files(spark, path)
@@ -208,11 +272,41 @@ class VectorIndex:
             if current is None:
                 raise IndexConfigError(f"no index at {path}")
             version = int(current)
-        at = f"v={version:06d}"
-        config, matrix = files.read(f"{at}/config.json"), files.read(f"{at}/rotation.npy")
-        if config is None or matrix is None:
+        config, matrix, manifest = (files.read(n) for n in ("config.json", "rotation.npy", f"manifest-{version:06d}.json"))
+        if config is None or matrix is None or manifest is None:
             raise IndexConfigError(f"version {version} is incomplete")
-        rows = spark.read.parquet(f"{files.base}/{at}/vectors").withColumn("metadata", F.parse_json("metadata"))
-        return cls(spark, IndexConfig.from_json(config.decode()), rows.select(COLUMNS), np.load(io.BytesIO(matrix)))
+        m = json.loads(manifest)
+        stored = "chunk_id string, seq long, shard int, codes binary, sketch binary, metadata string"
+        rows = spark.read.schema(stored).parquet(*(f"{files.base}/{p}" for p in m["data"])) if m["data"] else spark.createDataFrame([], stored)
+        index = cls(spark, IndexConfig.from_json(config.decode()), rows.withColumn("metadata", F.parse_json("metadata")).select(COLUMNS), np.load(io.BytesIO(matrix)))
+        if m["gone"]:
+            index._gone = spark.read.schema(GONE).parquet(*(f"{files.base}/{p}" for p in m["gone"]))
+        index._size, index._ends = m["size"], tuple(m["next"])
+        index._home = files.base, version, {"data": m["data"], "gone": m["gone"]}
+        return index
 
     load = open
+
+    @staticmethod
+    def vacuum(spark: SparkSession, path: str, keep: int = 2) -> int:
+        """Delete the parts that none of the last ``keep`` versions names, and older manifests; the number of parts deleted.
+
+        Not while another handle saves: its parts have no manifest yet.
+        """
+        files = Files(spark, path)
+        version = int(files.read("_CURRENT") or 0)
+        used: set[str] = set()
+        for v in range(version, 0, -1):
+            name = f"manifest-{v:06d}.json"
+            manifest = files.read(name)
+            if manifest is None:
+                break
+            if v > version - keep:
+                m = json.loads(manifest)
+                used |= {*m["data"], *m["gone"]}
+            else:
+                files.delete(name)
+        old = [p for kind in ("data", "gone") for p in files.folders(kind) if p not in used]
+        for p in old:
+            files.delete(p)
+        return len(old)

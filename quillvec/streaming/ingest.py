@@ -1,4 +1,4 @@
-"""Continuous ingest into an index: each micro-batch becomes a new version, written once whatever is retried."""
+"""Continuous ingest into an index: each micro-batch is appended as a version of its own, once whatever is retried."""
 
 from __future__ import annotations
 

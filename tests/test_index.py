@@ -92,3 +92,52 @@ def test_save_and_open(spark, index, data, tmp_path):
     again = VectorIndex.open(spark, path)
     assert again.config == index.config and hits(again.search(data[7], 4, filters_={"group": 1})) == hits(index.search(data[7], 4, filters_={"group": 1}))
     assert len(VectorIndex.open(spark, path, 1)) == 300
+
+
+def parts(path, kind):
+    folder = path / "i" / kind
+    return sorted(p.name for p in folder.iterdir()) if folder.exists() else []
+
+
+def test_changes_are_appended(spark, data, tmp_path):
+    """A saved change writes what changed: rows added, and marks of rows removed; old versions stay readable until vacuum."""
+    path = str(tmp_path / "i")
+    i = VectorIndex(spark, IndexConfig(16))
+    i.add(frame(spark, data[:40]))
+    assert i.save(path) == 1
+    first = parts(tmp_path, "data")
+    again = VectorIndex.open(spark, path)
+    again.delete(["chunk-3"])
+    again.update(frame(spark, -data[5:6], start=5))
+    again.add(frame(spark, data[3:4], start=3))
+    assert again.save(path) == 2 and set(first) < set(parts(tmp_path, "data")) and len(parts(tmp_path, "data")) == 2 and len(parts(tmp_path, "gone")) == 1
+    now = VectorIndex.open(spark, path)
+    assert len(now) == 40 == now.rows.count() and hits(now.search(-data[5], 1))[0][0] == "chunk-5" and hits(now.search(data[3], 1))[0][0] == "chunk-3"
+    assert len(VectorIndex.open(spark, path, 1)) == 40 and hits(VectorIndex.open(spark, path, 1).search(data[5], 1))[0][0] == "chunk-5"
+    assert now.rows.agg(F.count_distinct("seq")).first()[0] == 40
+    assert now.save(path) == 3 and VectorIndex.vacuum(spark, path, 1) == 0
+    with pytest.raises(IndexConfigError):
+        VectorIndex.open(spark, path, 1)
+
+
+def test_many_parts_become_one(spark, data, tmp_path, monkeypatch):
+    from quillvec.operators import index as module
+
+    monkeypatch.setattr(module, "MOST_PARTS", 2)
+    path = str(tmp_path / "i")
+    VectorIndex(spark, IndexConfig(16)).save(path)
+    for k in range(3):
+        i = VectorIndex.open(spark, path)
+        i.add(frame(spark, data[k : k + 1], start=k))
+        i.save(path)
+    assert len(VectorIndex.open(spark, path)) == 3 and VectorIndex.vacuum(spark, path, 1) >= 1
+    assert {r["chunk_id"] for r in VectorIndex.open(spark, path).rows.collect()} == {"chunk-0", "chunk-1", "chunk-2"}
+
+
+def test_auto_is_fast_beyond_ten_thousand(spark, tmp_path):
+    """Rows in hand: beyond the limit ``auto`` takes the two-stage search, and finds what the exact one finds."""
+    x = np.random.default_rng(3).standard_normal((10_050, 8)).astype(np.float32)
+    i = VectorIndex(spark, IndexConfig(8))
+    i.add(frame(spark, x))
+    exact, auto, fast = (hits(i.search(x[7], 10, mode=m)) for m in ("exact", "auto", "fast"))
+    assert auto == fast and auto[0] == exact[0] and len({c for c, _ in exact} & {c for c, _ in auto}) >= 8
