@@ -1,4 +1,4 @@
-"""``python -m quillvec.cli``: import a data set, query, describe and evaluate an index, keep an adapter config."""
+"""``python -m quillvec.cli``: import a data set, query, describe, evaluate and serve an index, keep an adapter config."""
 
 from __future__ import annotations
 
@@ -33,6 +33,13 @@ def parser() -> argparse.ArgumentParser:
     a.add_argument("cases")
     a.add_argument("--top-k", type=int, default=10)
     a.add_argument("--output")
+    for name, told in (("serve", "answer requests over HTTP"), ("mcp", "answer tool calls on standard input and output")):
+        a = sub.add_parser(name, help=told)
+        a.add_argument("path")
+        if name == "serve":
+            a.add_argument("--host", default="127.0.0.1")
+            a.add_argument("--port", type=int, default=8080)
+            a.add_argument("--origin", action="append", default=[], help="an origin that browsers may call from")
     a = sub.add_parser("adapt", help="show, set or remove the adapter config of an index")
     a.add_argument("action", choices=["auto", "set", "show", "remove"])
     a.add_argument("path")
@@ -59,6 +66,14 @@ def run(args: argparse.Namespace, spark: SparkSession) -> object:
     if args.command == "describe-index":
         index, records = datasets.open_sidecar(spark, args.path)
         return Service(index, records).describe()
+    if args.command in ("serve", "mcp"):
+        from quillvec import server
+
+        index, records = datasets.open_sidecar(spark, args.path)
+        service = Service(index, records, path=args.path)
+        if args.command == "mcp":
+            return server.serve_tools(service)
+        return server.http_server(service, args.host, args.port, tuple(args.origin)).serve_forever()
     index = VectorIndex.open(spark, args.path)
     cases = datasets.read_cases(spark, args.cases)
     asked = cases.select("query_id", "query_vector").toPandas()
@@ -92,7 +107,8 @@ def adapt(args: argparse.Namespace) -> object:
 def main(argv: list[str] | None = None) -> int:
     args = parser().parse_args(argv)
     out = adapt(args) if args.command == "adapt" else run(args, SparkSession.builder.appName("quillvec").getOrCreate())
-    print(json.dumps(out, indent=1, default=str))
+    if out is not None:
+        print(json.dumps(out, indent=1, default=str))
     return 0
 
 

@@ -6,6 +6,7 @@ Catalyst expressions in ``chunk_frame`` and plain Python in ``chunk_text``, with
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import os
 import re
@@ -39,6 +40,39 @@ def count_words(text: str) -> int:
     return len(text.split())
 
 
+class BpeCount:
+    """Counts tokens of a public BPE vocabulary (a ``.tiktoken`` file of ranks or a tokenizer's ``.json``); the file's path is a parameter.
+
+    The vocabulary is read where it is used, once for each worker.
+    """
+
+    #: How byte-level BPE texts are cut before merging.
+    PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+
+    def __init__(self, path: str, pattern: str = PATTERN):
+        self.path, self.pattern = path, pattern
+
+    def __call__(self, text: str) -> int:
+        return _bpe(self.path, self.pattern)(text)
+
+
+@functools.cache
+def _bpe(path: str, pattern: str) -> Callable[[str], int]:
+    if path.endswith(".json"):
+        from tokenizers import Tokenizer
+
+        t = Tokenizer.from_file(path)
+        return lambda text: len(t.encode(text, add_special_tokens=False).ids)
+    import base64
+
+    import tiktoken
+
+    with open(path, "rb") as f:
+        ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
+    e = tiktoken.Encoding(os.path.basename(path), pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    return lambda text: len(e.encode_ordinary(text))
+
+
 def _split(text: str, size: int, separators: tuple[str, ...], count: Callable[[str], int]) -> Iterator[str]:
     if count(text) <= size:
         yield text
@@ -112,10 +146,10 @@ class ChunkText:
             yield i, len(pieces), p
 
 
-def segments_udf(size: int):
+def segments_udf(size: int, count: Callable[[str], int] = count_words):
     @F.pandas_udf(T.ArrayType(T.StringType()))
     def run(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: merged_segments(t, size))
+        return texts.map(lambda t: merged_segments(t, size, count))
 
     return run
 
@@ -136,19 +170,29 @@ def id_column(source, index, text):
     return F.concat(F.lit("chunk-"), F.substring(F.sha2(F.concat_ws(":", source, index.cast("string"), F.substring(text, 1, 200)), 256), 1, 12))
 
 
+def titles_column(full_text):
+    return F.transform(F.regexp_extract_all(full_text, F.lit(HEADING), F.lit(2)), lambda t: F.trim(t))
+
+
 def section_column(full_text, piece):
     """The first heading of the whole text that the piece contains."""
-    titles = F.transform(F.regexp_extract_all(full_text, F.lit(HEADING), F.lit(2)), lambda t: F.trim(t))
+    return section_of(titles_column(full_text), piece)
+
+
+def section_of(titles, piece):
     return F.get(F.filter(titles, lambda t: F.contains(piece, t)), F.lit(0))
 
 
-def chunk_frame(docs: DataFrame, text: str = "text", source: str = "source_doc", config: ChunkConfig = ChunkConfig()) -> DataFrame:
-    """(chunk_id, text, source_doc, section, chunk_index, chunk_count) of each document's pieces."""
+def chunk_frame(docs: DataFrame, text: str = "text", source: str = "source_doc", config: ChunkConfig = ChunkConfig(), count: Callable[[str], int] = count_words) -> DataFrame:
+    """(chunk_id, text, source_doc, section, chunk_index, chunk_count) of each document's pieces.
+
+    The headings are found once for each document; the whole text doesn't travel with its pieces.
+    """
     base = docs.select(F.coalesce(F.col(source).cast("string"), F.lit("")).alias("source_doc"), F.col(text).alias("full"))
-    cut = base.withColumn("merged", segments_udf(config.chunk_size)("full")).where(F.size("merged") > 0)
+    cut = base.select("source_doc", titles_column(F.col("full")).alias("titles"), segments_udf(config.chunk_size, count)("full").alias("merged")).where(F.size("merged") > 0)
     cut = cut.withColumn("pieces", with_overlap(F.col("merged"), config.chunk_overlap))
-    rows = cut.select("source_doc", "full", F.size("pieces").alias("chunk_count"), F.posexplode("pieces").alias("chunk_index", "text"))
-    return rows.select(id_column(F.col("source_doc"), F.col("chunk_index"), F.col("text")).alias("chunk_id"), "text", "source_doc", section_column(F.col("full"), F.col("text")).alias("section"), "chunk_index", "chunk_count")
+    rows = cut.select("source_doc", "titles", F.size("pieces").alias("chunk_count"), F.posexplode("pieces").alias("chunk_index", "text"))
+    return rows.select(id_column(F.col("source_doc"), F.col("chunk_index"), F.col("text")).alias("chunk_id"), "text", "source_doc", section_of(F.col("titles"), F.col("text")).alias("section"), "chunk_index", "chunk_count")
 
 
 def read_documents(spark: SparkSession, paths: list[str] | str, skip_failures: bool = False) -> DataFrame:

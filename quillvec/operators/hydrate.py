@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillvec.session import cut_lineage
+
 UNHYDRATED = "No record was found for this id"
 IDS = ("chunk_id", "id", "_id", "point_id", "vector_id")
 META_IDS = ("chunk_id", "id", "_id")
@@ -14,26 +18,47 @@ SOURCES = ("source_doc", "source", "document_id")
 METAS = ("metadata", "payload", "fields")
 
 
-def hydrate(hits: DataFrame, records: DataFrame, allow_unhydrated: bool = True) -> DataFrame:
+class Source:
+    """Records kept elsewhere, which are asked for by id: ``for_ids(ids)`` gives those of some ids (chunk_id), and no others."""
+
+    def __init__(self, fetch: Callable[[DataFrame], DataFrame]):
+        self.fetch = fetch
+
+    def for_ids(self, ids: DataFrame) -> DataFrame:
+        return self.fetch(ids.select("chunk_id").distinct())
+
+
+def of(records: DataFrame | Source, ids: DataFrame) -> DataFrame:
+    """The records of some ids: a table as it is (the join selects them), a source asked for just these."""
+    return records.for_ids(ids) if isinstance(records, Source) else records
+
+
+def hydrate(hits: DataFrame, records: DataFrame | Source, allow_unhydrated: bool = True) -> DataFrame:
     """``hits`` (chunk_id, score, ...) with text, source_doc and page_num; without a record: an empty text, or no row."""
-    r = records.select("chunk_id", "text", "source_doc", "page_num")
+    if isinstance(records, Source):
+        hits = cut_lineage(hits)  # the ids are needed to ask, and the hits again to join
+    r = of(records, hits).select("chunk_id", "text", "source_doc", "page_num")
     if not allow_unhydrated:
         return hits.join(r, "chunk_id").withColumn("explanation", F.lit(None).cast("string"))
     out = hits.join(r, "chunk_id", "left")
     return out.withColumn("explanation", F.when(F.col("text").isNull(), F.lit(UNHYDRATED))).withColumn("text", F.coalesce("text", F.lit("")))
 
 
-def hydrate_fallback(hits: DataFrame, local: DataFrame, external: DataFrame) -> DataFrame:
-    """The local snapshot first, the external source for what it lacks."""
+def hydrate_fallback(hits: DataFrame, local: DataFrame, external: DataFrame | Source) -> DataFrame:
+    """The local snapshot first; the external source is asked for the hits that it lacks, and for nothing else."""
+    if isinstance(external, Source):
+        hits = cut_lineage(hits)
     a = local.select("chunk_id", F.col("text").alias("local_text"))
     missing = hits.select("chunk_id").distinct().join(a, "chunk_id", "left_anti")
-    b = external.select("chunk_id", F.col("text").alias("external_text")).join(missing, "chunk_id", "left_semi")
+    b = of(external, missing).select("chunk_id", F.col("text").alias("external_text")).join(missing, "chunk_id", "left_semi")
     out = hits.join(a, "chunk_id", "left").join(b, "chunk_id", "left")
     return out.withColumn("text", F.coalesce("local_text", "external_text", F.lit(""))).drop("local_text", "external_text")
 
 
-def hydrate_batch(hits: DataFrame, records: DataFrame) -> DataFrame:
+def hydrate_batch(hits: DataFrame, records: DataFrame | Source) -> DataFrame:
     """Hits of many queries; each record is fetched once, then fanned out."""
+    if isinstance(records, Source):
+        return hydrate(hits, records)
     wanted = hits.select("chunk_id").distinct()
     fetched = records.join(wanted, "chunk_id", "left_semi")
     return hydrate(hits, fetched)

@@ -105,7 +105,9 @@ class Metrics:
 class Service:
     """query, query_batch, ingest, ingest_text, describe, health and metrics over one index."""
 
-    def __init__(self, index: VectorIndex, records: DataFrame | None = None, model: Any = None, external: DataFrame | None = None, path: str | None = None):
+    def __init__(self, index: VectorIndex, records: DataFrame | None = None, model: Any = None, external: DataFrame | hydrate.Source | None = None, path: str | None = None):
+        if isinstance(records, hydrate.Source):
+            records, external = None, records
         self.index, self.records, self.model, self.external, self.path = index, records, model, external, path
         self.metrics_, self._lock = Metrics(), threading.Lock()
 
@@ -134,7 +136,8 @@ class Service:
                 vector = embedder(self.model, "adapter")(q["text"])
             hits = self.index.search_batch(vector, q["k"], q["filters"]) if q["filters"] is not None else self.index.search(vector, q["k"])
             rows = self._hydrated(hits) if q["hydrate"] else hits
-            return {"results": [r.asDict() for r in rows.orderBy("rank").collect()], "count": rows.count()}
+            found = [r.asDict() for r in rows.orderBy("rank").collect()]
+            return {"results": found, "count": len(found)}
 
         return self._timed("query", run)
 

@@ -2,21 +2,28 @@
 
 from __future__ import annotations
 
+import importlib
 import json
 import os
 import re
+import urllib.parse
 from collections.abc import Callable, Iterable, Mapping
+from functools import reduce
 from typing import Any
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillvec.operators import hydrate
+
 RECORD = "chunk_id string, text string, source_doc string, page_num int, section string, metadata string"
 COLUMNS = [f.split()[0] for f in RECORD.split(", ")]
 IDENTIFIER = re.compile(r"(?a)^[^\W\d]\w*(?:\.[^\W\d]\w*)?$")
 ALIASES = {"postgres": "neon", "postgresql": "neon", "pg": "neon", "chromadb": "chroma"}
 REQUIRED = {"supabase": ("url", "key", "table"), "pinecone": ("api_key", "index"), "qdrant": ("url", "collection"), "neon": ("dsn", "table"), "chroma": ("collection",)}
+#: Ids that are sent to a database at most, and in one query.
+MOST_IDS, IDS_A_QUERY = 20_000, 500
 #: The order in which the environment is searched, and the variable that speaks for each store.
 ENVIRONMENT = {"supabase": "SUPABASE_URL", "pinecone": "PINECONE_API_KEY", "qdrant": "QDRANT_URL", "neon": "DATABASE_URL", "chroma": "CHROMA_PATH"}
 
@@ -73,11 +80,21 @@ def save_config(config: dict, path: str) -> None:
 
 
 def jdbc_records(spark: SparkSession, ids: DataFrame, url: str, table: str, columns: dict[str, str] | None = None, **options: str) -> DataFrame:
-    """Records of a JDBC table for some ids; the table is read in parallel where partition options are given."""
+    """Records of a JDBC table for some ids.
+
+    Up to ``MOST_IDS`` ids are sent to the database, ``IDS_A_QUERY`` in each of the queries that run in parallel. Beyond that the
+    table is read (in parallel where partition options are given) and joined with the ids.
+    """
     names = {c: identifier((columns or {}).get(c, c)) for c in COLUMNS}
+    wanted = [r[0] for r in ids.select("chunk_id").where("chunk_id is not null").distinct().limit(MOST_IDS + 1).collect()]
     rows = spark.read.format("jdbc").options(url=url, dbtable=identifier(table), **options).load()
+    if len(wanted) <= MOST_IDS:
+        # such a filter is part of the query that the database runs
+        own = F.col(names["chunk_id"])
+        some = [rows.where(own.isin(wanted[i : i + IDS_A_QUERY])) for i in range(0, len(wanted), IDS_A_QUERY)]
+        rows = reduce(DataFrame.unionByName, some) if some else rows.where(F.lit(False))
     rows = rows.select(*((F.col(n) if n in rows.columns else F.lit(None)).cast("int" if c == "page_num" else "string").alias(c) for c, n in names.items()))
-    return rows.join(ids.select("chunk_id").distinct(), "chunk_id", "left_semi")
+    return rows if len(wanted) <= MOST_IDS else rows.join(ids.select("chunk_id").distinct(), "chunk_id", "left_semi")
 
 
 def _records_of(answer: Any) -> Iterable[Mapping]:
@@ -133,11 +150,15 @@ def coerce(raw: Mapping) -> dict:
     return {"chunk_id": str(cid), "text": str(text), "source_doc": pick(h.SOURCES, raw, meta), "page_num": None if page is None else int(page), "section": section, "metadata": json.dumps(kept)}
 
 
-def fetch_records(ids: DataFrame, backend: Any, batch: int = 256) -> DataFrame:
-    """Records of distinct ids, asked for in batches by the executors; missing ones have no row."""
-    ask = caller(backend)
+def fetch_records(ids: DataFrame, backend: Any, batch: int = 256, made: bool = False) -> DataFrame:
+    """Records of distinct ids, asked for in batches by the executors; missing ones have no row.
+
+    With ``made``, ``backend`` is called in each partition and gives what is asked.
+    """
+    ask_ = None if made else caller(backend)
 
     def run(frames):
+        ask = caller(backend()) if made else ask_
         for pdf in frames:
             wanted = pdf["chunk_id"].tolist()
             rows = []
@@ -150,9 +171,71 @@ def fetch_records(ids: DataFrame, backend: Any, batch: int = 256) -> DataFrame:
     return ids.select("chunk_id").distinct().mapInPandas(run, RECORD)
 
 
-def from_config(spark: SparkSession, ids: DataFrame, config: dict) -> DataFrame:
+def _client(name: str, module: str, make: Callable[[Any], Any]) -> Any:
+    """A store's client from its library, where that is installed."""
+    try:
+        return make(importlib.import_module(module))
+    except ImportError:
+        raise ValueError(f"no client library for {name} here; pass a client") from None
+
+
+def supabase(client: Any, table: str, id_column: str = "chunk_id") -> Callable[[list[str]], Any]:
+    """A table of rows behind a query builder."""
+    return lambda ids: client.table(identifier(table)).select("*").in_(identifier(id_column), ids).execute()
+
+
+def pinecone(client: Any, namespace: str | None = None) -> Callable[[list[str]], Any]:
+    return lambda ids: client.fetch(ids=ids, **({} if namespace is None else {"namespace": namespace}))
+
+
+def qdrant(client: Any, collection: str) -> Callable[[list[str]], Any]:
+    """Points by id; ids that are whole numbers are asked for as numbers, as such points are."""
+    number = lambda i: int(i) if i.isdigit() else i
+    return lambda ids: client.retrieve(collection_name=collection, ids=[number(i) for i in ids], with_payload=True, with_vectors=False)
+
+
+def chroma(collection: Any) -> Callable[[list[str]], Any]:
+    return lambda ids: collection.get(ids=ids, include=["documents", "metadatas"])
+
+
+def asker(backend: str, options: Mapping[str, Any], client: Any = None) -> Callable[[list[str]], Any]:
+    """How a configured store is asked for ids; without a client, one is made by the store's library."""
+    o = options
+    if backend == "supabase":
+        client = client or _client(backend, "supabase", lambda m: m.create_client(o["url"], o["key"]))
+        return supabase(client, o["table"], o.get("id_column", "chunk_id"))
+    if backend == "pinecone":
+        client = client or _client(backend, "pinecone", lambda m: m.Pinecone(api_key=o["api_key"]).Index(o["index"]))
+        return pinecone(client, o.get("namespace"))
+    if backend == "qdrant":
+        client = client or _client(backend, "qdrant_client", lambda m: m.QdrantClient(url=o["url"], api_key=o.get("api_key")))
+        return qdrant(client, o["collection"])
+    if backend == "chroma":
+        client = client or _client(backend, "chromadb", lambda m: (m.PersistentClient(o["path"]) if o.get("path") else m.HttpClient(host=o.get("host", "localhost"))).get_collection(o["collection"]))
+        return chroma(client)
+    raise ValueError(f"{backend} isn't asked through a client")
+
+
+def from_config(spark: SparkSession, config: dict, client: Callable[[], Any] | None = None) -> hydrate.Source:
+    """The records of a configured store, as a source that is asked for the ids that are needed.
+
+    Clients are made where they are used, once for each partition; ``client`` makes one in place of the store's library.
+    """
     config = load_config(config)
-    options = config["options"]
-    if config["backend"] in ("neon", "supabase") and str(options.get("dsn", "")).startswith("jdbc:"):
-        return jdbc_records(spark, ids, options["dsn"], options["table"])
-    raise ValueError(f"no client library for {config['backend']} here; pass a fetch function")
+    backend, options = config["backend"], config["options"]
+    if backend == "neon":
+        url = options["dsn"]
+        return hydrate.Source(lambda ids: jdbc_records(spark, ids, url if url.startswith("jdbc:") else jdbc_url(url), options["table"], options.get("columns")))
+    if client is None:
+        asker(backend, options)  # a missing library is an error now, not in some task
+    return hydrate.Source(lambda ids: fetch_records(ids, lambda: asker(backend, options, client() if client else None), made=True))
+
+
+def jdbc_url(dsn: str) -> str:
+    """``postgresql://user:password@host/name`` as a JDBC URL."""
+    u = urllib.parse.urlsplit(dsn)
+    if u.scheme not in ("postgres", "postgresql") or not u.hostname:
+        raise ValueError("dsn must be a jdbc: or postgresql:// URL")
+    keys = {k: v for k, v in (("user", u.username), ("password", u.password)) if v}
+    query = "&".join(x for x in (u.query, urllib.parse.urlencode({k: urllib.parse.unquote(v) for k, v in keys.items()})) if x)
+    return f"jdbc:postgresql://{u.hostname}{f':{u.port}' if u.port else ''}{u.path}{'?' + query if query else ''}"

@@ -13,7 +13,7 @@ from quillvec.sources import backends, datasets
 from quillvec.streaming.ingest import ingest_stream
 from quillvec.vectorstore import Store
 
-ROWS = [{"chunk_id": "a", "text": "apple finance", "embedding": [2, 0, 1], "metadata": {"topic": "finance"}}, {"chunk_id": "b", "text": "banana inventory", "embedding": [0, 2, 0], "metadata": {"topic": "inventory"}}, {"chunk_id": "c", "text": "finance banana", "embedding": [0, 1, 1], "metadata": {"topic": "finance"}}]
+ROWS = [dict(chunk_id=i, text=t, embedding=e, metadata={"topic": m}) for i, t, e, m in (("a", "apple finance", [2, 0, 1], "finance"), ("b", "banana inventory", [0, 2, 0], "inventory"), ("c", "finance banana", [0, 1, 1], "finance"))]
 
 
 @pytest.fixture()
@@ -30,7 +30,7 @@ def test_sidecar(spark, jsonl, tmp_path):
     assert [r["chunk_id"] for r in index.search([2, 0, 1], 2, filters_={"topic": "finance"}).collect()] == ["a", "c"]
     assert {r["text"] for r in records.collect()} == {r["text"] for r in ROWS}
     _, fetched = datasets.open_sidecar(spark, str(tmp_path / "i"), fetch={"a": {"text": "from outside"}})
-    assert [(r["chunk_id"], r["text"]) for r in fetched.collect()] == [("a", "from outside")]
+    assert [(r["chunk_id"], r["text"]) for r in fetched.for_ids(index.rows).collect()] == [("a", "from outside")]
 
 
 def test_bad_datasets(spark, tmp_path):
