@@ -195,6 +195,32 @@ def _shown(hits: DataFrame) -> DataFrame:
     return hits.select(F.col("chunk_id").cast("long").alias("vec_id"), F.round("score", 6).alias("score"), "rank")
 
 
+def _haar() -> np.ndarray:
+    return codec.rotation(DIM, 42, "haar")
+
+
+def _haar_sql() -> str:
+    rows = ", ".join("[" + ", ".join(f"{x!r}::DOUBLE" for x in map(float, row)) + "]" for row in _haar())
+    return f"WITH {UNIT}, h AS (SELECT unnest(range({DIM})) AS place, unnest([{rows}]) AS r) SELECT vec_id, CAST(place AS INTEGER) AS place, round(list_dot_product(v, r), 5) + 0.0 AS value FROM n, h"
+
+
+@register("rotate_haar", _haar_sql())
+def rotate_haar(spark, sf_dir):
+    """The random orthogonal rotation of every vector, by the Arrow path that the encoder takes."""
+    import pyarrow as pa
+
+    matrix = _haar()
+
+    def run(batches):
+        for batch in batches:
+            x = codec.matrix_of(batch.column("embedding"), DIM, np.float64)
+            y = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), codec.TINY) @ matrix.T.astype(np.float64)
+            yield pa.RecordBatch.from_arrays([batch.column("vec_id"), pa.array(list(np.round(y.astype(np.float64), 5) + 0.0), pa.list_(pa.float64()))], names=["vec_id", "y"])
+
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding").mapInArrow(run, "vec_id long, y array<double>")
+    return rows.select("vec_id", F.posexplode("y").alias("place", "value"))
+
+
 @register("exact_search_topk", f"WITH {ENCODED}, {HITS_OF_FIRST} SELECT vec_id, round(score, 6) AS score, rank FROM (SELECT *, {RANKED} FROM s) WHERE rank <= {TOP}")
 def exact_search_topk(spark, sf_dir):
     return _shown(search.search_codes(encoded(spark, sf_dir), config(), prepared_first(spark, sf_dir), ["0"], TOP))
@@ -440,25 +466,54 @@ def _records(spark, sf_dir, labelled: bool = True) -> DataFrame:
     return d.select(F.col("doc_id").cast("string").alias("chunk_id"), F.col("text"), F.col("source").alias("source_doc"), F.lit(None).cast("int").alias("page_num"))
 
 
-TOP50 = f"WITH {ENCODED}, {HITS_OF_FIRST}, x AS (SELECT * FROM (SELECT *, {RANKED} FROM s) WHERE rank <= 50), rec AS (SELECT * FROM documents WHERE doc_id IN (SELECT doc_id FROM labels))"
+def _wide_hits(spark, sf_dir) -> DataFrame:
+    """The hits of every vector as hits of records: a vector's record is the document of three times its id, which may not exist."""
+    return _batch(spark, sf_dir).select("query_id", (F.col("chunk_id").cast("long") * 3).cast("string").alias("chunk_id"), "score", "rank")
+
+
+WIDE = f"WITH {ENCODED}, {PAIRS}, x AS (SELECT CAST(query_id AS VARCHAR) AS query_id, CAST(vec_id * 3 AS VARCHAR) AS chunk_id, vec_id * 3 AS wanted, rank FROM r WHERE rank <= {TOP}), rec AS (SELECT * FROM documents WHERE doc_id IN (SELECT doc_id FROM labels))"
 
 
-@register("hydrate_left", f"{TOP50} SELECT CAST(vec_id AS VARCHAR) AS chunk_id, rank, md5(coalesce(text, '')) AS text_md5, source AS source_doc, CASE WHEN text IS NULL THEN '{hydrate.UNHYDRATED}' END AS explanation FROM x LEFT JOIN rec ON doc_id = vec_id")
+@register("hydrate_left", f"{WIDE} SELECT query_id, chunk_id, rank, md5(coalesce(text, '')) AS text_md5, source AS source_doc, CASE WHEN text IS NULL THEN '{hydrate.UNHYDRATED}' END AS explanation FROM x LEFT JOIN documents ON doc_id = wanted")
 def hydrate_left(spark, sf_dir):
-    out = hydrate.hydrate(_hits(spark, sf_dir), _records(spark, sf_dir))
-    return out.select("chunk_id", "rank", F.md5("text").alias("text_md5"), "source_doc", "explanation")
+    out = hydrate.hydrate(_wide_hits(spark, sf_dir), _records(spark, sf_dir, False))
+    return out.select("query_id", "chunk_id", "rank", F.md5("text").alias("text_md5"), "source_doc", "explanation")
 
 
-@register("hydrate_inner", f"{TOP50} SELECT CAST(vec_id AS VARCHAR) AS chunk_id, rank, md5(text) AS text_md5, source AS source_doc FROM x JOIN rec ON doc_id = vec_id")
+@register("hydrate_inner", f"{WIDE} SELECT query_id, chunk_id, rank, md5(text) AS text_md5, source AS source_doc FROM x JOIN documents ON doc_id = wanted")
 def hydrate_inner(spark, sf_dir):
-    out = hydrate.hydrate(_hits(spark, sf_dir), _records(spark, sf_dir), False)
-    return out.select("chunk_id", "rank", F.md5("text").alias("text_md5"), "source_doc")
+    out = hydrate.hydrate(_wide_hits(spark, sf_dir), _records(spark, sf_dir, False), False)
+    return out.select("query_id", "chunk_id", "rank", F.md5("text").alias("text_md5"), "source_doc")
 
 
-@register("hydrate_fallback", f"{TOP50} SELECT CAST(vec_id AS VARCHAR) AS chunk_id, rank, md5(coalesce(rec.text, documents.text, '')) AS text_md5 FROM x LEFT JOIN rec ON rec.doc_id = vec_id LEFT JOIN documents ON documents.doc_id = vec_id")
+@register("hydrate_batch", CATALOG["hydrate_left"][1])
+def hydrate_batch(spark, sf_dir):
+    """As hydrate_left, each record fetched once for all queries."""
+    out = hydrate.hydrate_batch(_wide_hits(spark, sf_dir), _records(spark, sf_dir, False))
+    return out.select("query_id", "chunk_id", "rank", F.md5("text").alias("text_md5"), "source_doc", "explanation")
+
+
+@register("hydrate_fallback", f"{WIDE} SELECT query_id, chunk_id, rank, md5(coalesce(rec.text, documents.text, '')) AS text_md5 FROM x LEFT JOIN rec ON rec.doc_id = wanted LEFT JOIN documents ON documents.doc_id = wanted")
 def hydrate_fallback(spark, sf_dir):
-    out = hydrate.hydrate_fallback(_hits(spark, sf_dir), _records(spark, sf_dir), _records(spark, sf_dir, False))
-    return out.select("chunk_id", "rank", F.md5("text").alias("text_md5"))
+    """The local store holds the labelled documents, the outside one, asked for the missing ids, all."""
+    outside = _records(spark, sf_dir, False)
+    source = hydrate.Source(lambda ids: outside.join(ids, "chunk_id", "left_semi"))
+    out = hydrate.hydrate_fallback(_wide_hits(spark, sf_dir), _records(spark, sf_dir), source)
+    return out.select("query_id", "chunk_id", "rank", F.md5("text").alias("text_md5"))
+
+
+@register("coerce_records_documents", """SELECT CAST(doc_id AS VARCHAR) AS chunk_id, md5(text) AS text_md5, source AS source_doc, CASE WHEN doc_id % 3 = 0 THEN -1 ELSE CAST(n_chars AS INTEGER) END AS page_num,
+CASE WHEN doc_id % 3 = 1 THEN lang END AS section, CASE WHEN doc_id % 3 = 1 THEN '{"section":"' || lang || '"}' WHEN doc_id % 3 = 2 THEN '{"kind":"' || lang || '"}' ELSE '{}' END AS metadata, CAST(NULL AS VARCHAR) AS error FROM documents WHERE trim(text, ' ') <> ''""")
+def coerce_records_documents(spark, sf_dir):
+    """All documents as JSON lines, in three of the shapes that stores use."""
+    d = table(spark, sf_dir, "documents").where(F.trim("text") != "")
+    flat = F.struct(F.col("doc_id").alias("id"), F.col("text").alias("content"), F.col("source"))
+    paged = F.struct(F.col("doc_id").cast("string").alias("chunk_id"), "text", F.col("source").alias("source_doc"), F.col("n_chars").alias("page_num"), F.col("lang").alias("section"))
+    nested = F.struct(F.struct(F.col("doc_id").alias("_id"), F.col("text").alias("page_content"), F.col("source"), F.col("n_chars").cast("string").alias("page_number"), F.col("lang").alias("kind")).alias("metadata"))
+    shape = F.col("doc_id") % 3
+    lines = d.select(F.when(shape == 0, F.to_json(flat)).when(shape == 1, F.to_json(paged)).otherwise(F.to_json(nested)).alias("value"))
+    out = hydrate.coerce_records(lines)
+    return out.select("chunk_id", F.md5("text").alias("text_md5"), "source_doc", F.coalesce("page_num", F.lit(-1)).alias("page_num"), "section", "metadata", "error")
 
 
 RAW = [
@@ -521,6 +576,18 @@ def markdown_sections(spark, sf_dir):
     return rows.select("piece_no", chunking.section_column(F.col("full"), F.col("piece")).alias("section"))
 
 
+@register("markdown_sections_documents", f"""WITH {LINES},
+m AS (SELECT doc_id, '# ' || substr(trim(parts[1]), 1, 6) || chr(10) || text AS full_text FROM x JOIN documents USING (doc_id) WHERE len(parts) > 0),
+h AS (SELECT doc_id, list_transform(regexp_extract_all(full_text, '(?m)^(#{{1,6}})\\s+(\\S.*)$', 2), lambda t: trim(t)) AS titles FROM m)
+SELECT p.doc_id, chunk_index, list_filter(titles, lambda t: contains(p.piece, t))[1] AS section FROM p JOIN h USING (doc_id)""")
+def markdown_sections_documents(spark, sf_dir):
+    """The lines of all documents, each of which gets a heading from its own first line."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "text", F.filter(F.split("text", "\n"), lambda p: F.trim(p) != "").alias("parts")).where(F.size("parts") > 0)
+    full = F.concat(F.lit("# "), F.substring(F.trim(F.get("parts", F.lit(0))), 1, 6), F.lit("\n"), F.col("text"))
+    rows = d.select("doc_id", chunking.titles_column(full).alias("titles"), F.posexplode("parts").alias("chunk_index", "piece"))
+    return rows.select("doc_id", "chunk_index", chunking.section_of(F.col("titles"), F.col("piece")).alias("section"))
+
+
 # -- graph
 
 TOKENS = "list_filter(regexp_split_to_array(lower(strip_accents({0})), '[^a-z0-9]+'), lambda w: w <> '')"
