@@ -117,6 +117,208 @@ def test_crf_skip_edges_and_training():
     assert found == [[]]
 
 
+def test_beliefs_against_enumeration():
+    """Without loops the beliefs are the exact marginals; with a loop, that of one skip edge, they name the same labels."""
+    from itertools import product
+
+    model = pii_crf.model()
+    texts = [["call", "555", "123", "4567", "now"], ["mail", "bob@site.org,", "or", "12", "34"], ["card", "4111", "1111", "1111", "1111"], ["10.0.0.1", "x", "y", "10.0.0.1", "5"]]
+    k = pii_crf.K
+    for tokens in texts:
+        nodes = pii_crf.Nodes()
+        pii_crf.nodes_of(tokens, nodes)
+        n = len(nodes.features)
+        unary = pii_crf.potentials(nodes, model)
+        total = np.zeros((n, k))
+        for labels in product(range(k), repeat=n):
+            score = sum(unary[i, y] for i, y in enumerate(labels))
+            score += sum(model["chain"][labels[i], labels[j]] for i, j in nodes.chain) + sum(model["skip"][labels[i], labels[j]] for i, j in nodes.skip)
+            for i, y in enumerate(labels):
+                total[i, y] += np.exp(score)
+        exact = total / total.sum(1, keepdims=True)
+        b = pii_crf.beliefs(nodes, model)
+        ours = np.exp(b - b.max(1, keepdims=True))
+        ours /= ours.sum(1, keepdims=True)
+        assert n >= 2 and (ours.argmax(1) == exact.argmax(1)).all()
+        # damping leaves a small rest on trees; skip edges beside chain edges make loops
+        assert np.abs(ours - exact).max() < (0.2 if nodes.skip else 1e-3)
+
+
+def test_personal_data_of_many_forms():
+    """Forms and words that no test table has."""
+    model = pii_crf.model()
+    cases = {
+        "call me at 555 123 4567": ["555 123 4567"], "phone: 020 7946 0958": ["020 7946 0958"], "tel +49 30 1234567": ["+49 30 1234567"], "ring (020) 7946 0958": ["(020) 7946 0958"],
+        "fax 212 555 0100 ext 5": ["212 555 0100"], "addr 2001:db8:85a3::8a2e:370:7334 end": ["2001:db8:85a3::8a2e:370:7334"], "fe80::1 is local": ["fe80::1"], "[2001:db8::1]:8080": ["2001:db8::1"],
+        "amex 3782 822463 10005": ["3782 822463 10005"], "visa 4111 1111 1111 1111 now": ["4111 1111 1111 1111"], "SSN 123-45-6789": ["123-45-6789"], "Email:bob@site.org,x": ["bob@site.org"],
+        "order 4111111111111111": [], "id 1234567890123456": [], "isbn 978-3-16-148410-0": [], "MAC 00:1a:2b:3c:4d:5e": [], "version 1.2.3.4": [], "at 12:30:45": [], "in 2021 about 45 000 units and 1 234 567 people": [], "std::vector<int> a::b": [],
+    }
+    for text, wanted in cases.items():
+        found = pii_crf.entities(pa.array([text]), model)[0]
+        assert [text.encode()[a:b].decode() for _, a, b in found] == wanted, text
+
+
+def test_constants_against_naive_propagation():
+    """Random programs of assignments: each literal's names by following every path from it."""
+    rng = np.random.default_rng(8)
+    for _ in range(200):
+        names = [*(f"v{i}" for i in range(5)), "password", "apiKey", "user", "salt"]
+        lines, value, flows, count = [], {}, {}, 0
+        for _ in range(int(rng.integers(2, 9))):
+            name, terms, own = str(rng.choice(names)), [], set()
+            for _ in range(int(rng.integers(1, 4))):
+                if rng.random() < 0.5:
+                    literal = f"Xy{count}-Zq{count}!kf9{count}"
+                    count += 1
+                    terms.append(f'"{literal}"')
+                    own.add(literal)
+                else:
+                    other = str(rng.choice(names[:5]))
+                    terms.append(other)
+                    own |= value.get(other, set())
+            lines.append(f"{name} = " + " + ".join(terms))
+            value[name] = own
+            for x in own:
+                flows.setdefault(x, []).append(name)
+        text = "\n".join(lines)
+        wanted = set()
+        for literal, through in flows.items():
+            weights = [secret_scan.name_weight(n) for n in through]
+            score = max(weights) * secret_scan.strength(literal)
+            if score >= secret_scan.THRESHOLD:
+                wanted.add((literal, through[weights.index(max(weights))], round(score, 6)))
+        assert {(text[a:b], name, score) for a, b, name, score in secret_scan.scan(text)} == wanted, text
+
+
+def test_language_against_naive_vectors(spark):
+    """Hashed counts, weights and cosines of some texts, one n-gram at a time."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    model = language_id.fit(docs)
+    rows = {r["doc_id"]: r for r in language_id.classify(docs, model).collect()}
+    u32 = 1 << 32
+    for r in docs.orderBy("doc_id").limit(12).collect():
+        padded = [32, 32, *language_id.LETTERS[np.frombuffer(r["text"].lower().encode(), np.uint8)].tolist()]
+        counts = np.zeros(language_id.DIMENSIONS)
+        for i in range(2, len(padded)):
+            c, b, a = (int(x) for x in padded[i - 2 : i + 1])
+            if (a, b) != (32, 32):
+                counts[((a + b * 257) * 2654435761 % u32) >> 20] += 1
+            if (a, b, c) != (32, 32, 32):
+                counts[((a + b * 257 + c * 66049) % u32 * 2246822519 % u32) >> 20] += 1
+        v = np.log1p(counts) * model["idf"]
+        cosines = model["centroids"] @ (v / np.linalg.norm(v))
+        best = int(cosines.argmax())
+        least = model["least"][best] * min(1, (counts > 0).sum() / language_id.FULL_TEXT) ** 0.5
+        assert abs(rows[r["doc_id"]]["cosine"] - cosines[best]) < 1e-3
+        assert rows[r["doc_id"]]["predicted"] == (model["langs"][best] if cosines[best] >= least else "und")
+
+
+def test_fingerprints_piece_by_piece(texts):
+    """Fingerprints and their likeness written down once more, byte by byte."""
+
+    def fingerprint(data):
+        sums = []
+        for i in range(len(data)):
+            w = [data[i - j] if i >= j else 0 for j in range(7)]
+            mixed = 0
+            for j, x in enumerate(w):
+                mixed ^= (x << (5 * j)) & 0xFFFFFFFF
+            sums.append((sum(x * (8 - j) for j, x in enumerate(w)) + mixed) & 0xFFFFFFFF)
+
+        def letters(size):
+            ends = [i + 1 for i, h in enumerate(sums) if h % size == size - 1 and i + 1 < len(data)][:63] + [len(data)]
+            starts = [0, *ends[:-1]]
+            spans = textbytes.span_hashes(np.frombuffer(data, np.uint8), np.array(starts), np.array(ends))
+            return "".join(chr(fuzzy_fingerprints.ALPHABET[int(h) & 63]) for h in spans)
+
+        size = 3
+        while size * 64 < len(data):
+            size *= 2
+        while size > 3 and sum(h % size == size - 1 for h in sums) + 1 < 32:
+            size //= 2
+        return size, letters(size), letters(2 * size)
+
+    def likeness(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            new = [0]
+            for j, y in enumerate(b):
+                new.append(row[j] + 1 if x == y else max(row[j + 1], new[j]))
+            row = new
+        return 200 * row[-1] / (len(a) + len(b))
+
+    some = [t for t in texts.values() if t and len(t) < 4000][:60]
+    ours = fuzzy_fingerprints.fingerprints(pa.array(some))
+    assert [tuple(p.split(":")) for p in ours] == [tuple(map(str, fingerprint(t.encode()))) for t in some]
+    some = [*some, *(t[:-20] + "and a changed end" for t in some[:20]), *(t[: len(t) // 2] for t in some[:20])]
+    prints = list(dict.fromkeys(fuzzy_fingerprints.fingerprints(pa.array(some))))
+    alike = fuzzy_fingerprints._alike_of(pa.array(prints))
+    grams = lambda s: {s[i : i + 7] for i in range(len(s) - 6)}
+    entries = [fuzzy_fingerprints.entries(p) for p in prints]
+    linked = 0
+    for i in range(len(prints)):
+        others = np.arange(i + 1, len(prints))
+        if not len(others):
+            continue
+        found = alike(i, others)
+        for j, hit in zip(others, found):
+            wanted = any(m == n and grams(a) & grams(b) and likeness(a, b) >= 60 for m, a in entries[i] for n, b in entries[j])
+            assert hit == wanted, (prints[i], prints[j])
+            linked += wanted
+    assert linked > 10
+
+
+def test_compiled_rules_equal_covers(spark):
+    """The Spark column against the rules applied one by one."""
+    d = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
+    intercept, rules = quality_classifier.fit(*quality_classifier.labelled(docs, labels))
+    rows = quality_classifier.scored(docs, labels).select(*quality_classifier.FEATURES, "score", "keep").toPandas()
+    x = rows[quality_classifier.FEATURES].to_numpy(float)
+    z = intercept + sum(w * quality_classifier.covers(r, x) for r, w in rules)
+    assert rules and np.abs(rows["score"] - 1 / (1 + np.exp(-z))).max() < 2e-6 and (rows["keep"] == (rows["score"] >= 0.5)).all()
+
+
+def test_fences_follow_the_group(spark):
+    """The same text is rejected where all others are alike, and stays where they vary."""
+    rng = np.random.default_rng(2)
+
+    def text(length):
+        return " ".join("".join(rng.choice(list("abcdefghij"), max(1, int(round(length + rng.normal(0, 0.5)))))) for _ in range(60))
+
+    rows = [(k, text(5), "en", "even") for k in range(80)] + [(100 + k, text(3 + k % 10), "en", "mixed") for k in range(80)]
+    probe = text(11)
+    docs = spark.createDataFrame([*rows, (998, probe, "en", "even"), (999, probe, "en", "mixed")], "doc_id long, text string, lang string, source string")
+    kept = {r["doc_id"] for r in quality_rules.keep(docs).collect()}
+    assert 998 not in kept and 999 in kept and len(kept) == 161
+
+
+def test_junk_goes_and_labelled_good_stays(spark):
+    d = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
+    kept = {r["doc_id"] for r in quality_rules.keep(docs).select("doc_id").collect()}
+    rows = labels.collect()
+    share = lambda q: np.mean([r["doc_id"] in kept for r in rows if r["quality"] == q])
+    assert share(1) > 0.99 and share(0) < 0.1
+
+
+UNSEEN = """https://mega-casino777.top/bonus http://pornvideos-free.xyz/watch http://cheappills-rx.biz/order https://hot-poker-room.net/ http://viagra-generic.info/buy http://betting-tips24.com/odds
+https://adultdating.club/ http://freeslots.win/spin https://payday-loan-fast.com/apply http://get-cracks.ws/keygen/photoshop http://lottery-winner.tk/claim.php?id=9 https://click.adserving.net/track/click/9 http://xn--seo.top/cheap-viagra-online"""
+ORDINARY = """https://en.wikipedia.org/wiki/Graph_theory https://www.bbc.co.uk/news/world-1234 https://docs.python.org/3/library/re.html https://github.com/apache/spark/issues/12 https://arxiv.org/abs/1706.03762
+https://stackoverflow.com/questions/11227809 https://www.lemonde.fr/international/article/2021/ https://www.nature.com/articles/s41586 https://www.spiegel.de/politik/ https://www.mit.edu/about https://news.ycombinator.com/item?id=1
+https://www.essex.ac.uk/ https://www.sussexcountycouncil.gov.uk/planning https://www.elpais.com/cultura/2020 https://kernel.org/doc/html/latest https://medium.com/@x/on-writing https://www.scunthorpe.gov.uk/"""
+
+
+def test_url_model_on_other_sites():
+    """Hosts, paths and endings that are neither in the labelled table nor in the pages."""
+    weights, intercept = url_filter.model()
+    score = lambda u: intercept + sum(weights[g] for g in url_filter.grams(u))
+    table = {url_filter.host_path(u) for u, _ in url_filter.labelled_urls()}
+    bad, good = UNSEEN.split(), ORDINARY.split()
+    assert not table & {url_filter.host_path(u) for u in (*bad, *good)}
+    assert np.mean([score(u) > 0 for u in bad]) >= 0.9 and np.mean([score(u) < 0 for u in good]) >= 0.95
+
+
 def test_secrets_found(spark, texts):
     wanted = Counter({d: n for d, t in texts.items() if (n := len(re.findall(r'(?i)token = "[0-9a-f]{40}"', t)))})
     assert Counter(r["doc_id"] for r in registry.queries()["op7_secret_scan"](spark, "/root/testdata/sf0.001").collect()) == wanted
