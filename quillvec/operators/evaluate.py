@@ -5,6 +5,8 @@ from __future__ import annotations
 import json
 import time
 from collections.abc import Callable
+from functools import reduce
+from typing import Protocol
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -12,6 +14,23 @@ from pyspark.sql import functions as F
 WARM_UP = 5
 
 
+class SearchBackend(Protocol):
+    """What can be evaluated: a name, and hits (query_id, chunk_id, score, rank) of a table of queries (query_id, embedding)."""
+
+    name: str
+
+    def search(self, queries: DataFrame, k: int) -> DataFrame: ...
+
+
+def evaluated(backends: list[SearchBackend], queries: DataFrame, cases: DataFrame, k: int = 10) -> DataFrame:
+    """(label, recall, mrr, qps) of each backend on the same queries, as ``comparison`` takes them."""
+    out = []
+    for b in backends:
+        hits, seconds = timed(lambda b=b: b.search(queries, k))
+        out.append(report(hits, cases, seconds).select(F.lit(b.name).alias("label"), "recall", "mrr", "qps"))
+    return reduce(DataFrame.unionByName, out)
+
+
 def per_query(hits: DataFrame, cases: DataFrame) -> DataFrame:
     """(query_id, recall, reciprocal_rank) for hits(query_id, chunk_id, rank) and cases(query_id, relevant_ids)."""
     relevant = cases.select("query_id", F.explode(F.array_distinct("relevant_ids")).alias("chunk_id"))

@@ -57,6 +57,31 @@ class HashEmbedder:
         return v / max(float(np.linalg.norm(v)), 1e-12)
 
 
+class SentenceEmbedder:
+    """A sentence-transformer model by name, loaded once in each worker; its library is optional."""
+
+    def __init__(self, name: str, normalize: bool = True):
+        self.name, self.normalize, self._model = name, normalize, None
+
+    def __getstate__(self):
+        return {"name": self.name, "normalize": self.normalize, "_model": None}
+
+    def _loaded(self):
+        if self._model is None:
+            try:
+                from sentence_transformers import SentenceTransformer
+            except ImportError:
+                raise EmbeddingError("the library sentence_transformers isn't installed") from None
+            self._model = SentenceTransformer(self.name)
+        return self._model
+
+    def embed_documents(self, texts: list[str]) -> np.ndarray:
+        return np.asarray(self._loaded().encode(list(texts), normalize_embeddings=self.normalize), np.float32)
+
+    def embed(self, text: str) -> np.ndarray:
+        return self.embed_documents([text])[0]
+
+
 def merge(dense: DataFrame, graph: DataFrame) -> DataFrame:
     """(query_id, chunk_id, score, path, explanation): scores of both added; what the graph says wins."""
     d = dense.select("query_id", "chunk_id", F.col("score").alias("dense"))

@@ -263,3 +263,27 @@ def test_chunk_documents_against_the_rules(spark, sf_small):
         pieces = plain_chunks(text, 128)
         wanted = {i: p if i == 0 else " ".join([*pieces[i - 1].split()[-16:], p]) for i, p in enumerate(pieces)}
         assert got.get(doc, {}) == wanted, doc
+
+
+def test_baselines(spark):
+    """Clusters find most of what exact search finds; each is compared on the same queries."""
+    from pyspark.sql import functions as F
+
+    from quillvec.operators import baselines, evaluate
+    from quillvec.operators.hybrid import SentenceEmbedder
+
+    rng = np.random.default_rng(1)
+    x = np.repeat(rng.standard_normal((20, 12)), 30, 0) + 0.2 * rng.standard_normal((600, 12))
+    vectors = spark.createDataFrame([(str(i), v.tolist()) for i, v in enumerate(x)], "chunk_id string, embedding array<double>")
+    queries = vectors.where("cast(chunk_id as int) % 10 = 0").withColumnRenamed("chunk_id", "query_id")
+    flat, clustered = baselines.Flat(vectors, 12), baselines.Clustered(vectors, 12, clusters=24, probes=6)
+    cases = flat.search(queries, 5).groupBy("query_id").agg(F.collect_list("chunk_id").alias("relevant_ids"))
+    rows = {r["label"]: r for r in evaluate.evaluated([flat, clustered], queries, cases, 5).collect()}
+    assert rows["flat"]["recall"] == 1.0 and rows["clustered"]["recall"] >= 0.9
+    try:
+        import sentence_transformers  # noqa: F401
+    except ImportError:
+        from quillvec.errors import EmbeddingError
+
+        with pytest.raises(EmbeddingError):
+            SentenceEmbedder("a model").embed("text")
