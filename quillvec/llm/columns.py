@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 
 def place(names: list[str], wanted: str) -> int | None:
@@ -37,6 +38,13 @@ def free(wanted: str, names: list[str]) -> str:
     return wanted
 
 
+def repeated(df: DataFrame, times: str, block: int = 4096) -> DataFrame:
+    """Each row as many times as its column ``times`` says, which is dropped; in blocks, so that no array is longer than one."""
+    blocks = df.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), ((F.col(times) - 1) / block).cast("long"))))
+    rest = F.least(F.lit(block).cast("long"), F.col(times) - F.col("block") * block)
+    return blocks.withColumn("block", F.explode(F.sequence(F.lit(1).cast("long"), rest))).drop("block", times)
+
+
 def kind(df: DataFrame, name: str) -> str:
     """The column's type as it is written in schemas."""
     return df.schema[name].dataType.simpleString()

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quillvec.llm.columns import plain, restored
+from quillvec.llm.columns import plain, repeated, restored
 from quillvec.session import cut_lineage
 
 TOKEN = r"[^ \t\n\r\f]+"
@@ -41,7 +41,8 @@ def n_tokens(text="text") -> F.Column:
 def keys(seed: int = SEED) -> dict[str, F.Column]:
     return {
         "queue": F.coalesce(F.col("source").cast("string"), F.lit("")),
-        "key": F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))),
+        # of id and text, so that rows which share an id, or have none, are spread as well
+        "key": F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.coalesce(F.md5("text"), F.lit("")))),
         "tie": F.xxhash64("text"),
     }
 
@@ -52,8 +53,8 @@ def schedule(docs: DataFrame, weights: dict[str, float] | None = None, default_w
     pairs = [F.lit(x) for item in weights.items() for x in (item[0], float(item[1]))]
     own = F.try_element_at(F.create_map(*pairs), F.col("queue")) if pairs else F.lit(None).cast("double")
     units = plain(docs, ["doc_id", "source", "text"]).select(*(c.alias(n) for n, c in keys(seed).items()), "doc_id", n_tokens().alias("n_tokens"))
-    units = units.withColumn("part", F.substring("key", 1, PREFIX_DIGITS)).repartition("queue", "part")
-    units = units.groupBy("queue", "part", "key", "tie", "doc_id").agg(F.count("*").alias("copies"), F.sum("n_tokens").alias("n_tokens"))
+    # copies are put together before they are shuffled
+    units = units.withColumn("part", F.substring("key", 1, PREFIX_DIGITS)).groupBy("queue", "part", "key", "tie", "doc_id").agg(F.count("*").alias("copies"), F.sum("n_tokens").alias("n_tokens"))
     units = cut_lineage(units)
     totals = units.groupBy("queue", "part").agg(F.sum("n_tokens").alias("t"))
     before = Window.partitionBy("queue").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
@@ -113,13 +114,13 @@ def mix(docs: DataFrame, **options) -> DataFrame:
 def query(spark, sf_dir: str) -> DataFrame:
     """The kept rows, copies and all; those of one unit have its cumulative tokens and time."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    rows = schedule(docs).withColumn("n_tokens", (F.col("n_tokens") / F.col("copies")).cast("long")).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    rows = repeated(schedule(docs).withColumn("n_tokens", (F.col("n_tokens") / F.col("copies")).cast("long")), "copies")
     return rows.orderBy(*ORDER).select("doc_id", F.col("queue").alias("source"), "n_tokens", "source_tokens", "virtual_finish")
 
 
 SQL = f"""
 WITH t AS (
-  SELECT doc_id, coalesce(source, '') AS source, md5('{SEED}:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS k,
+  SELECT doc_id, coalesce(source, '') AS source, md5('{SEED}:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || coalesce(md5(text), '')) AS k,
          CAST(coalesce(len(regexp_extract_all(text, '{TOKEN}')), 0) AS BIGINT) AS n_tokens
   FROM documents),
 w AS (

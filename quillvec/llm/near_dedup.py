@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillvec.llm import textbytes as tb
-from quillvec.llm.columns import kind, plain, restored
+from quillvec.llm.columns import kind, plain, repeated, restored
 from quillvec.llm.components import bucket_edges, components
 from quillvec.session import cut_lineage
 
@@ -153,8 +153,7 @@ def marked(docs: DataFrame) -> DataFrame:
 def duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, duplicate_of, group_size): each document to drop, with the document of its group that stays."""
     dropped = marked(docs).withColumn("times", F.when(F.col("stays"), F.col("copies") - 1).otherwise(F.col("copies"))).where("times > 0")
-    once = F.explode(F.sequence(F.lit(1), F.col("times")))
-    return dropped.select("doc_id", F.col("first.doc_id").alias("duplicate_of"), F.col("size").alias("group_size"), once.alias("i")).drop("i")
+    return repeated(dropped.select("doc_id", F.col("first.doc_id").alias("duplicate_of"), F.col("size").alias("group_size"), "times"), "times")
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
