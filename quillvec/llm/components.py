@@ -7,9 +7,10 @@ A bucket may hold a third of all items. Such hot buckets are found by counting a
 one of ``SAMPLE``); the sample only decides how a bucket is worked on, never what comes out. A hot bucket is cut into blocks
 that are walked each for itself; one item of each group that a block finds goes on to the next round, so that a bucket of
 alike items shrinks by the size of a block each time. What is then left are links between items of different groups: the
-bucket is split further by keys of which any two alike items share at least one, where the operator has such keys, and
-its blocks are compared with each other, each pair of blocks in some task. Items of one group are never compared again, and
-blocks of one group's items are never paired. Nothing is capped.
+bucket's blocks are compared with each other, each pair of blocks in some task. Where that would copy its items more often
+than ``PAIR_COPIES``, the bucket is first split by keys of which any two alike items share at least one, if the operator has
+such keys. Items of one group are never compared again, and blocks of one group's items are never paired. All this works on
+the items of hot buckets only, which are gathered once. Nothing is capped.
 """
 
 from __future__ import annotations
@@ -24,10 +25,12 @@ from pyspark.sql import functions as F
 from quillvec.session import cut_lineage
 
 Alike = Callable[[int, np.ndarray], np.ndarray]
-#: One item of so many is counted; a bucket with so many of them is hot. Hot buckets that are broadcast at most.
+#: One item of so many is counted; a bucket with so many of them is hot. Hot buckets, and items of them, that are broadcast at most.
 SAMPLE, HOT_SEEN, BROADCAST_BUCKETS = 64, 16, 50_000
 #: Items of a block, when groups are sought in it and when two of them are compared.
 BLOCK, PAIR_BLOCK = 2048, 4096
+#: Copies of a bucket's items, on average, up to which its blocks are paired as they are: keys cost more than so many.
+PAIR_COPIES = 4
 
 
 def walk(n: int, alike: Alike) -> Iterator[tuple[int, np.ndarray]]:
@@ -110,12 +113,14 @@ def _spread(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
 
 
-def bucket_edges(items: DataFrame, members_of: Callable[[DataFrame], DataFrame], alike_of: Callable, parts_of: Callable[[Column], Column] | None = None) -> DataFrame:
+def bucket_edges(items: DataFrame, members_of: Callable[[DataFrame], DataFrame], alike_of: Callable, parts_of: Callable[[Column], Column] | None = None, again: bool = False) -> DataFrame:
     """Edges (a, b) between similar items that share a bucket.
 
     items(id BINARY, payload, ...): what is compared. members_of(items): (bucket LONG, id), the buckets of each item.
     alike_of(payloads) gives alike(x, others). parts_of(payload): keys of which alike items share at least one.
+    again: whether an item may stand there several times; those of hot buckets are then picked before repeats are dropped.
     """
+    rows, items = items, items.dropDuplicates(["id"]) if again else items
     members = members_of(items)
     sampled = members_of(items.where(F.pmod(F.xxhash64(F.lit(17), "id"), F.lit(SAMPLE)) == 0))
     hot = cut_lineage(sampled.groupBy("bucket").count().where(F.col("count") >= HOT_SEEN).select("bucket"))
@@ -123,7 +128,9 @@ def bucket_edges(items: DataFrame, members_of: Callable[[DataFrame], DataFrame],
     if not n_hot:
         return ordinary_edges(members, items, alike_of)
     hot = F.broadcast(hot) if n_hot <= BROADCAST_BUCKETS else hot
-    found = hot_edges(members.join(hot, "bucket", "left_semi"), items.select("id", "payload"), alike_of, parts_of)
+    inside = members_of(rows).join(hot, "bucket", "left_semi")
+    inside = cut_lineage(inside.distinct() if again else inside)
+    found = hot_edges(inside, hot_items(rows.select("id", "payload"), inside, again), alike_of, parts_of)
     return ordinary_edges(members.join(hot, "bucket", "left_anti"), items, alike_of).unionByName(found)
 
 
@@ -138,9 +145,16 @@ def ordinary_edges(members: DataFrame, items: DataFrame, alike_of: Callable) ->
     return full.select("members").mapInArrow(_walked(alike_of), "a binary, b binary")
 
 
+def hot_items(items: DataFrame, members: DataFrame, again: bool) -> DataFrame:
+    """The items that have members, gathered once, so that no later step shuffles all items for the few."""
+    ids = cut_lineage(members.select("id").distinct())
+    ids = F.broadcast(ids) if ids.count() <= BROADCAST_BUCKETS else ids
+    some = items.join(ids, "id", "left_semi")
+    return cut_lineage(some.dropDuplicates(["id"]) if again else some)
+
+
 def hot_edges(members: DataFrame, items: DataFrame, alike_of: Callable, parts_of: Callable[[Column], Column] | None) -> DataFrame:
-    """Edges of buckets of any size."""
-    members = cut_lineage(members)
+    """Edges of buckets of any size, all of whose members (bucket, id) and items (id, payload) are given."""
     left, n, edges = members, members.count(), None
     while True:
         # blocks by hash, as many as the bucket's size asks for
@@ -158,8 +172,11 @@ def hot_edges(members: DataFrame, items: DataFrame, alike_of: Callable, parts_of
     # what remains: links between items of different groups that share a bucket
     open_ = cut_lineage(_of_several(of_group(members)))
     if parts_of is not None:
-        keys = open_.join(items, "id").select("bucket", "id", "root", F.explode(parts_of(F.col("payload"))).alias("key"))
-        open_ = cut_lineage(_of_several(keys.select(F.xxhash64("bucket", "key").alias("bucket"), "id", "root")))
+        dear = cut_lineage(_often_copied(_groups(open_)))
+        if dear.count():
+            keys = open_.join(dear, "bucket", "left_semi").join(items, "id").select("bucket", "id", "root", F.explode(parts_of(F.col("payload"))).alias("key"))
+            split = _of_several(keys.select(F.xxhash64("bucket", "key").alias("bucket"), "id", "root"))
+            open_ = cut_lineage(open_.join(dear, "bucket", "left_anti").unionByName(split))
     return edges.unionByName(paired_edges(open_, items, alike_of))
 
 
@@ -169,14 +186,26 @@ def _of_several(members: DataFrame) -> DataFrame:
     return members.join(several, "bucket", "left_semi")
 
 
+def _groups(members: DataFrame) -> DataFrame:
+    """(bucket, root, n, own): the groups in each bucket, and how many blocks of their own they fill."""
+    group = members.groupBy("bucket", "root").agg(F.count("*").alias("n"))
+    return group.withColumn("own", F.when(F.col("n") > PAIR_BLOCK, F.ceil(F.col("n") / PAIR_BLOCK)).otherwise(0).cast("long"))
+
+
+def _often_copied(group: DataFrame) -> DataFrame:
+    """The buckets whose items ``paired_edges`` would copy more often than ``PAIR_COPIES``: to each block but those of their group."""
+    shared = F.ceil(F.sum(F.when(F.col("own") == 0, F.col("n")).otherwise(0)) / PAIR_BLOCK)
+    of = group.groupBy("bucket").agg(F.sum("n").alias("all"), (F.sum("own") + shared).alias("blocks"), F.sum(F.col("n") * F.col("own")).alias("spared"))
+    return of.where(F.col("all") * F.col("blocks") - F.col("spared") > PAIR_COPIES * F.col("all")).select("bucket")
+
+
 def paired_edges(members: DataFrame, items: DataFrame, alike_of: Callable) -> DataFrame:
     """Edges between items (bucket, id, root) of one bucket and of different groups, block against block.
 
     Groups larger than a block have blocks of their own, which meet all blocks but those of the same group; the members of
     smaller groups share blocks, which meet all blocks and themselves.
     """
-    group = members.groupBy("bucket", "root").agg(F.count("*").alias("n"))
-    group = cut_lineage(group.withColumn("own", F.when(F.col("n") > PAIR_BLOCK, F.ceil(F.col("n") / PAIR_BLOCK)).otherwise(0).cast("long")))
+    group = cut_lineage(_groups(members))
     large = group.where("own > 0").select("bucket", F.explode(F.transform(F.sequence(F.lit(1).cast("long"), "own"), lambda k: F.struct(F.col("root").alias("root"), k.alias("k")))).alias("b"))
     mixed = group.where("own = 0").groupBy("bucket").agg(F.ceil(F.sum("n") / PAIR_BLOCK).alias("mixed"))
     shared = mixed.select("bucket", F.explode(F.transform(F.sequence(F.lit(1).cast("long"), "mixed"), lambda k: F.struct(F.unhex(F.lit("")).alias("root"), k.alias("k")))).alias("b"))

@@ -136,8 +136,8 @@ def groups(docs: DataFrame) -> DataFrame:
     narrow = plain(docs, ["doc_id", "text"]).select("doc_id", text_key(), "text").where(F.col("text").isNotNull())
     signed = cut_lineage(narrow.mapInArrow(_sign, f"doc_id {kind(narrow, 'doc_id')}, id binary, payload binary, bands array<long>"))
     rows = signed.groupBy("id", "doc_id").agg(F.count("*").alias("copies"))
-    items = signed.select("id", "payload", "bands").dropDuplicates(["id"])
-    roots = components(bucket_edges(items, lambda some: some.select(F.explode("bands").alias("bucket"), "id"), _alike_of, parts_of))
+    items = signed.select("id", "payload", "bands")
+    roots = components(bucket_edges(items, lambda some: some.select(F.explode("bands").alias("bucket"), "id"), _alike_of, parts_of, again=True))
     joined = rows.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
     # groups of any size: their counts and first documents are aggregates, combined before they are shuffled
     first = F.min_by(F.struct("doc_id", "id"), F.struct(F.col("doc_id").isNull(), "doc_id", "id")).alias("first")

@@ -63,6 +63,37 @@ def test_many_unlike_items_in_one_bucket(spark, tmp_path):
     assert groups(spark, rng.integers(0, 65536, (20_000, 128)).astype(np.uint16), near_dedup.parts_of, tmp_path) == {}
 
 
+def test_hot_steps_get_the_items_of_hot_buckets_only(spark, monkeypatch, tmp_path):
+    """40 alike items and 20 unlike ones in one bucket, 300 alone in theirs: 60 items are worked on, and no keys are made for them."""
+    small_blocks(monkeypatch, 4, 4, 32, 48)
+    rng = np.random.default_rng(6)
+    near = np.repeat(rng.integers(0, 65536, (1, 128)).astype(np.uint16), 40, 0)
+    near[rng.random(near.shape) < 0.12] = 7
+    all_ = np.concatenate([near, rng.integers(0, 65536, (320, 128)).astype(np.uint16)])
+    pd.DataFrame({"id": [i.to_bytes(4, "big") for i in range(360)], "bucket": [0] * 60 + list(range(1, 301)), "payload": [x.tobytes() for x in all_]}).to_parquet(tmp_path / "items.parquet")
+    got, keyed, real = [], [], components.hot_edges
+
+    def hot_edges(members, items, *rest):
+        got.append((members.count(), items.count()))
+        return real(members, items, *rest)
+
+    monkeypatch.setattr(components, "hot_edges", hot_edges)
+    parts = lambda payload: keyed.append(1) or near_dedup.parts_of(payload)
+    edges = components.bucket_edges(spark.read.parquet(str(tmp_path / "items.parquet")), lambda some: some.select("bucket", "id"), near_dedup._alike_of, parts)
+    found = {int.from_bytes(r["id"], "big"): int.from_bytes(r["root"], "big") for r in components.components(edges).collect()}
+    assert got == [(60, 60)] and not keyed
+    assert found == dict.fromkeys(range(40), 0)
+
+
+def test_groups_are_the_same_with_keys_and_without(small, monkeypatch):
+    small_blocks(monkeypatch, 1, 2, 3, 3)
+    found = []
+    for most in (0, 1_000_000):
+        monkeypatch.setattr(components, "PAIR_COPIES", most)
+        found.append(sorted(map(tuple, near_dedup.duplicates(small).collect())))
+    assert found[0] and found[0] == found[1]
+
+
 def test_alike_items_share_a_part():
     """The signature is cut into one part more than alike items can have differences."""
     parts = near_dedup.parts_of(F.lit(b"x"))._jc.toString()
