@@ -26,6 +26,8 @@ from quillvec.llm.components import bucket_edges, components
 from quillvec.session import cut_lineage
 
 PERMUTATIONS, ROWS, SHINGLE, THRESHOLD = 64, 4, 3, 0.6
+#: Bits of a bitmap for each key in it, the least and the most bits that one has (8 MB), and the bits of one of its rows.
+BITS_PER_KEY, LEAST_BITS, MOST_BITS, ROW_BITS = 16, 1 << 20, 1 << 26, 1 << 15
 U = np.uint64
 _rng = np.random.default_rng(20240607)
 MULTIPLIERS = _rng.integers(0, 1 << 63, PERMUTATIONS, dtype=np.uint64) * U(2) + U(1)
@@ -156,18 +158,44 @@ def duplicates(docs: DataFrame) -> DataFrame:
     return repeated(dropped.select("doc_id", F.col("first.doc_id").alias("duplicate_of"), F.col("size").alias("group_size"), "times"), "times")
 
 
+def told_apart(rows: DataFrame, keys: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
+    """(rows whose ``key`` may be one of the n keys, rows whose key is none of them); no row is shuffled.
+
+    The keys are hashed into a bitmap of bounded size, which is broadcast. With more keys than it is made for, more rows
+    are among the first, in vain; none of the keys is ever missed.
+    """
+    bits = min(MOST_BITS, max(LEAST_BITS, 1 << (BITS_PER_KEY * n - 1).bit_length()))
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(bits))
+    at = keys.select(place("found_key").alias("place")).distinct().select(F.expr(f"place div {ROW_BITS}").alias("piece"), F.pmod("place", F.lit(ROW_BITS)).alias("bit"))
+    # all bits of a piece come together before they are set, so that each piece is made once
+    pieces = cut_lineage(at.repartition("piece").groupBy("piece").agg(F.bitmap_construct_agg("bit").alias("bitmap")))
+    mine = F.pmod(place(rows["key"]), F.lit(ROW_BITS))
+    byte = F.conv(F.hex(F.substring(pieces["bitmap"], (mine / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    hit = (F.floor(place(rows["key"]) / ROW_BITS) == pieces["piece"]) & (F.pmod(F.floor(byte / F.pow(F.lit(2), mine % 8)), F.lit(2)) == 1)
+    return tuple(rows.join(F.broadcast(pieces), hit, how) for how in ("left_semi", "left_anti"))
+
+
 def deduplicate(docs: DataFrame) -> DataFrame:
-    """``docs`` without near duplicates: one row of each group, and every row that is in none."""
+    """``docs`` without near duplicates: one row of each group, and every row that is in none.
+
+    Rows whose text is none of those to drop are read and returned as they are; only the others are joined.
+    """
     inner = plain(docs, ["doc_id", "text"])
-    found = cut_lineage(marked(inner).select(F.col("doc_id").alias("found_id"), F.col("id").alias("found_key"), "copies", "stays"))
+    found = cut_lineage(marked(inner).select(F.col("doc_id").alias("found_id"), F.col("id").alias("found_key"), "copies", "stays").where("not stays or copies > 1"))
+    n, n_several = found.agg(F.count("*"), F.count(F.when(F.col("stays"), 1))).first()
+    if not n:
+        return docs
     tagged = inner.withColumn("key", text_key())
-    match = lambda other: tagged["doc_id"].eqNullSafe(other["found_id"]) & (tagged["key"] == other["found_key"])
-    gone = found.where("not stays or copies > 1").select("found_id", "found_key")
-    rest = tagged.join(gone, match(gone), "left_anti").select(inner.columns)
-    # a survivor that stands there several times: one of its rows comes back
-    several = found.where("stays and copies > 1").select("found_id", "found_key")
-    back = tagged.join(several, match(several), "left_semi").dropDuplicates(["doc_id", "key"]).select(inner.columns)
-    return restored(rest.unionByName(back), inner, docs)
+    some, others = told_apart(tagged, found, n)
+    match = lambda other: some["doc_id"].eqNullSafe(other["found_id"]) & (some["key"] == other["found_key"])
+    gone = found.select("found_id", "found_key")
+    rest = others.select(inner.columns).unionByName(some.join(gone, match(gone), "left_anti").select(inner.columns))
+    if n_several:
+        # a survivor that stands there several times: one of its rows comes back
+        several = found.where("stays").select("found_id", "found_key")
+        back = some.join(several, match(several), "left_semi").dropDuplicates(["doc_id", "key"]).select(inner.columns)
+        rest = rest.unionByName(back)
+    return restored(rest, inner, docs)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
