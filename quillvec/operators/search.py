@@ -10,6 +10,7 @@ then chunk_id ascending.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable, Sequence
 from functools import reduce
 from typing import NamedTuple
@@ -308,12 +309,16 @@ def _distance_kind(width: int):
 
 def _differing(asked: np.ndarray, own: np.ndarray):
     """(tile, pairs) of the Hamming distances of sketches in words."""
+    some = functools.lru_cache(2)(lambda shape: (np.empty(shape, np.uint64), np.empty(shape, np.uint8)))  # fresh memory would cost more than counting
 
     def tile(qs, rs, out):
-        counts = lambda w: np.bitwise_count(np.bitwise_xor(asked[qs, None, w], own[rs, w]))
-        out[:] = counts(0)
-        for w in range(1, asked.shape[1]):
-            out += counts(w)
+        words, bits = some(out.shape)
+        for w in range(asked.shape[1]):
+            np.bitwise_count(np.bitwise_xor(asked[qs, None, w], own[rs, w], out=words), out=bits if w or out.dtype != np.uint8 else out)
+            if out.dtype != np.uint8 and not w:
+                out[:] = bits
+            elif w:
+                out += bits
 
     return tile, lambda q, r: np.bitwise_count(asked[q] ^ own[r]).sum(1, dtype=np.float64)
 
@@ -513,6 +518,37 @@ class _Counts:
         return pa.RecordBatch.from_arrays([self.names.take(pa.array(q)), pa.array(c.astype(np.int32)), pa.array(self.total[q, c])], names=["query_id", "distance", "n"])
 
 
+def _fast_start(config: IndexConfig, k: int):
+    """Starts the second stage for queries with their bounds: the best k within them."""
+    dim, width = config.dim, -(-config.dim // 8)
+
+    def start(names, query_data):
+        both = np.frombuffer(query_data).reshape(len(names), dim + 1)
+        prepared, edge = np.ascontiguousarray(both[:, :-1]), both[:, -1]
+        scored, sketch = _code_block(prepared, config), np.ascontiguousarray(codec.sketch(prepared))
+
+        def block(data, n):
+            own = np.frombuffer(data, np.uint8).reshape(n, dim + width)
+            codes = scored(np.ascontiguousarray(own[:, :dim]))
+            tile, pairs = _differing(_words(sketch, len(names), width), _words(np.ascontiguousarray(own[:, dim:]), n, width))
+
+            def counts(qs, rs):
+                d = np.empty((qs.stop - qs.start, rs.stop - rs.start), _distance_kind(width))
+                tile(qs, rs, d)
+                return d <= edge[qs, None]
+
+            def exact(q, r):
+                cost, inside = np.full(len(q), np.inf), np.flatnonzero(pairs(q, r) <= edge[q])
+                cost[inside] = codes.exact(q[inside], r[inside])
+                return cost
+
+            return _Block(codes.tile, codes.slack, exact, counts)
+
+        return _Best(names, k, block)
+
+    return start
+
+
 def search_fast_frame(vectors: DataFrame, queries: DataFrame, config: IndexConfig, matrix: np.ndarray, k: int, size: int) -> DataFrame:
     """``search_fast`` for queries that are a table (query_id, embedding) of any size, as ``search_frame``.
 
@@ -541,34 +577,10 @@ def search_fast_frame(vectors: DataFrame, queries: DataFrame, config: IndexConfi
     def stored(b):
         return np.concatenate((codec.bytes_of(b.column(1), config.code_bytes), codec.bytes_of(b.column(2), width)), 1)
 
-    def start(names, query_data):
-        both = np.frombuffer(query_data).reshape(len(names), dim + 1)
-        prepared, edge = np.ascontiguousarray(both[:, :-1]), both[:, -1]
-        scored, sketch = _code_block(prepared, config), np.ascontiguousarray(codec.sketch(prepared))
-
-        def block(data, n):
-            own = np.frombuffer(data, np.uint8).reshape(n, dim + width)
-            codes = scored(np.ascontiguousarray(own[:, :dim]))
-            tile, pairs = _differing(_words(sketch, len(names), width), _words(np.ascontiguousarray(own[:, dim:]), n, width))
-
-            def counts(qs, rs):
-                d = np.empty((qs.stop - qs.start, rs.stop - rs.start), _distance_kind(width))
-                tile(qs, rs, d)
-                return d <= edge[qs, None]
-
-            def exact(q, r):
-                cost, inside = np.full(len(q), np.inf), np.flatnonzero(pairs(q, r) <= edge[q])
-                cost[inside] = codes.exact(q[inside], r[inside])
-                return cost
-
-            return _Block(codes.tile, codes.slack, exact, counts)
-
-        return _Best(names, k, block)
-
     row_size, query_size = _sizes(dim + width, (dim + 1) * 8)
     stored = lambda b: np.concatenate((levels(b), codec.bytes_of(b.column(2), width)), 1)
     rows = _sorted_blocks(_rows(vectors, "codes", "sketch"), "chunk_id", row_size, stored, "ids", "data")
-    return top_k(_against(rows, _sorted_blocks(bounded, "query_id", query_size, packed, "query_ids", "query_data"), start, HITS), k)
+    return top_k(_against(rows, _sorted_blocks(bounded, "query_id", query_size, packed, "query_ids", "query_data"), _fast_start(config, k), HITS), k)
 
 
 def hamming_frame(vectors: DataFrame, queries: DataFrame, width: int, k: int) -> DataFrame:
