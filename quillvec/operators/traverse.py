@@ -10,8 +10,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from quillvec.functions.exprs import made_once
 from quillvec.session import cut_lineage
 
+#: Tokens of an entity that are joined on, and how many entities are broadcast.
+KEY, MOST_BROADCAST = 3, 20_000
+
 
 @F.pandas_udf(T.StringType())
 def decomposed(texts: pd.Series) -> pd.Series:
@@ -29,16 +33,37 @@ def padded(tokens_: Column) -> Column:
     return F.concat(F.lit(" "), F.array_join(tokens_, " "), F.lit(" "))
 
 
+def _grams(words: str, n: int) -> Column:
+    """The runs of n words, each once; ``words`` is a column of its own, as a lambda reads it."""
+    if n == 1:
+        return F.array_distinct(words)
+    runs = F.transform(F.sequence(F.lit(1), F.size(words) - n + 1), lambda i: F.array_join(F.slice(words, i, n), " "))
+    return F.array_distinct(F.when(F.size(words) >= n, runs).otherwise(F.array().cast("array<string>")))
+
+
 def detect(queries: DataFrame, nodes: DataFrame) -> DataFrame:
     """(query_id, name): entities whose tokens stand one after another in the query (query_id, text).
 
-    Joined on the entity's first token, so that only entities that could match are compared.
+    Joined on runs of words: an entity's first ``KEY`` tokens, or all if there are fewer. Only where an entity is longer is its
+    whole name looked for, in the texts that have its first tokens; so a text is never copied for each of its words.
     """
-    q = queries.select("query_id", tokens(F.col("text")).alias("words"))
-    q = q.select("query_id", padded(F.col("words")).alias("line"), F.explode(F.array_distinct("words")).alias("first"))
-    e = nodes.select("name", tokens(F.col("name")).alias("words")).where(F.size("words") > 0)
-    e = e.select("name", padded(F.col("words")).alias("needle"), F.get("words", F.lit(0)).alias("first"))
-    return q.join(e, "first").where(F.contains("line", "needle")).select("query_id", "name").distinct()
+    e = nodes.select("name", tokens(F.col("name")).alias("words")).where(F.size("words") > 0).distinct()
+    e = cut_lineage(e.select("name", padded(F.col("words")).alias("needle"), F.array_join(F.slice("words", 1, KEY), " ").alias("gram"), F.least(F.size("words"), F.lit(KEY + 1)).alias("n")))
+    sizes = {r["n"]: r["count"] for r in e.groupBy("n").count().collect()}
+    if not sizes:
+        return queries.select("query_id").join(e.select("name"), how="cross")
+    small = sum(sizes.values()) <= MOST_BROADCAST
+    held = F.broadcast(e) if small else e
+    q = queries.select("query_id", made_once(tokens(F.col("text"))).alias("words"))
+    grams = [_grams("words", n) for n in sorted({min(n, KEY) for n in sizes})]
+    runs = q.select("query_id", F.explode(F.concat(*grams)).alias("gram"))
+    found = runs.join(held, "gram")
+    short = found.where(F.col("n") <= KEY).select("query_id", "name").distinct()
+    if KEY + 1 not in sizes:
+        return short
+    maybe = found.where(F.col("n") > KEY).select("query_id", "name", "needle").distinct()
+    lines = queries.select("query_id", padded(tokens(F.col("text"))).alias("line"))
+    return short.unionByName(lines.join(maybe, "query_id").where(F.contains("line", "needle")).select("query_id", "name").distinct())
 
 
 def bfs(starts: DataFrame, edges: DataFrame, depth: int = 2) -> DataFrame:
