@@ -14,6 +14,7 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,6 +24,8 @@ from quillvec.errors import ChunkingError
 
 SEPARATORS = ("\n" * 2, "\n", *(c + " " for c in ".!?;,"), " ")
 HEADING = r"(?m)^(#{1,6})\s+(\S.*)$"
+#: Characters of text whose pieces a worker gives back at once.
+PART = 1 << 20
 SUFFIXES = {"." + s for s in "markdown md pdf rst text txt".split()}
 
 
@@ -154,6 +157,30 @@ def segments_udf(size: int, count: Callable[[str], int] = count_words):
     return run
 
 
+def cut_frame(rows: DataFrame, text: str, out: str, size: int, count: Callable[[str], int] = count_words) -> DataFrame:
+    """``rows`` with the pieces of a text in its place.
+
+    What is made of a batch is given back in parts of ``PART`` characters of text, so that a worker holds one batch of texts and the
+    pieces of one part, however long the texts are.
+    """
+    others = [c for c in rows.columns if c != text]
+
+    def run(batches):
+        for batch in batches:
+            texts, at = batch.column(text), 0
+            while at < len(batch):
+                start, length, pieces = at, 0, []
+                while at < len(batch) and length < PART:
+                    t = texts[at].as_py()
+                    pieces.append(merged_segments(t, size, count))
+                    length, at = length + len(t or ""), at + 1
+                part = batch.slice(start, at - start)
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in others), pa.array(pieces, pa.list_(pa.string()))], names=[*others, out])
+
+    kinds = T.StructType([*(rows.schema[c] for c in others), T.StructField(out, T.ArrayType(T.StringType()))])
+    return rows.select(*others, text).mapInArrow(run, kinds)
+
+
 def with_overlap(pieces, words: int):
     """Column: overlapping pieces of an array of pieces."""
     if words <= 0:
@@ -189,7 +216,8 @@ def chunk_frame(docs: DataFrame, text: str = "text", source: str = "source_doc",
     The headings are found once for each document; the whole text doesn't travel with its pieces.
     """
     base = docs.select(F.coalesce(F.col(source).cast("string"), F.lit("")).alias("source_doc"), F.col(text).alias("full"))
-    cut = base.select("source_doc", titles_column(F.col("full")).alias("titles"), segments_udf(config.chunk_size, count)("full").alias("merged")).where(F.size("merged") > 0)
+    titled = base.select("source_doc", titles_column(F.col("full")).alias("titles"), "full")
+    cut = cut_frame(titled, "full", "merged", config.chunk_size, count).where(F.size("merged") > 0)
     cut = cut.withColumn("pieces", with_overlap(F.col("merged"), config.chunk_overlap))
     rows = cut.select("source_doc", "titles", F.size("pieces").alias("chunk_count"), F.posexplode("pieces").alias("chunk_index", "text"))
     return rows.select(id_column(F.col("source_doc"), F.col("chunk_index"), F.col("text")).alias("chunk_id"), "text", "source_doc", section_of(F.col("titles"), F.col("text")).alias("section"), "chunk_index", "chunk_count")
